@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recolta.llm import visual_form
+from recolta.llm import format_copies, visual_form
 from recolta.sources.tables import table
 
 
@@ -16,5 +16,30 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.visual_forms(table(spark, d, "items"), "id", ["text_content", "author"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms}
-SQL: dict[str, str] = {}
+COPY_FIELDS = {"url": "url", "dedupe_key": "key"}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return format_copies.copies(table(spark, d, "items"), "id", COPY_FIELDS)
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    return format_copies.records(table(spark, d, "items"), "id", COPY_FIELDS)
+
+
+_SKIPPED = r"[\s\p{P}$+<=>^`|~]"
+_P5 = f"""
+WITH l AS (SELECT id, lower(url) AS u, lower(dedupe_key) AS k FROM items),
+c AS (SELECT id,
+  regexp_replace(split_part(u, '?', 1), '{_SKIPPED}', '', 'g') AS head,
+  list_sort(list_filter(list_transform(regexp_split_to_array(CASE WHEN strpos(u, '?') > 0 THEN substr(u, strpos(u, '?') + 1) ELSE '' END, '[&;#]'), lambda x: regexp_replace(x, '{_SKIPPED}', '', 'g')), lambda x: x <> '')) AS params,
+  list_sort(list_filter(list_transform(CASE WHEN strpos(k, '=') > 0 THEN regexp_split_to_array(k, '[;&|,\n\r]') ELSE [k] END, lambda x: regexp_replace(x, '{_SKIPPED}', '', 'g')), lambda x: x <> '')) AS parts
+  FROM l WHERE u IS NOT NULL AND k IS NOT NULL),
+g AS (SELECT min(id) OVER (PARTITION BY head, params, parts) AS first_id, id FROM c)
+"""
+
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_records": p5_records}
+SQL: dict[str, str] = {
+    "p5_found": _P5 + "SELECT DISTINCT first_id, id FROM g WHERE id <> first_id",
+    "p5_records": _P5 + "SELECT coalesce(g.first_id, i.id) AS id, count(*) AS copies FROM items i LEFT JOIN g USING (id) GROUP BY 1",
+}
