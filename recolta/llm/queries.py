@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recolta.llm import format_copies, visual_form
+from recolta.llm import bpe, contamination, format_copies, visual_form
 from recolta.sources.tables import table
 
 
@@ -27,6 +27,18 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return format_copies.records(table(spark, d, "items"), "id", COPY_FIELDS)
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.cleaned(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
 _SKIPPED = r"[\s\p{P}$+<=>^`|~]"
 _P5 = f"""
 WITH l AS (SELECT id, lower(url) AS u, lower(dedupe_key) AS k FROM items),
@@ -38,7 +50,7 @@ c AS (SELECT id,
 g AS (SELECT min(id) OVER (PARTITION BY head, params, parts) AS first_id, id FROM c)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_records": p5_records}
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_records": p5_records, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
 SQL: dict[str, str] = {
     "p5_found": _P5 + "SELECT DISTINCT first_id, id FROM g WHERE id <> first_id",
     "p5_records": _P5 + "SELECT coalesce(g.first_id, i.id) AS id, count(*) AS copies FROM items i LEFT JOIN g USING (id) GROUP BY 1",
