@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recolta.llm import bpe, contamination, format_copies, visual_form
+from recolta.llm import bpe, contamination, format_copies, residue, visual_form
 from recolta.sources.tables import table
 
 
@@ -16,6 +16,15 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.visual_forms(table(spark, d, "items"), "id", ["text_content", "author"])
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "items"), "id", "text_content")
+
+
+def p4_scores(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "items")
+    return residue.scored(items, "id", "text_content", residue.train(items, "text_content"))
+
+
 COPY_FIELDS = {"url": "url", "dedupe_key": "key"}
 
 
@@ -50,7 +59,7 @@ c AS (SELECT id,
 g AS (SELECT min(id) OVER (PARTITION BY head, params, parts) AS first_id, id FROM c)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p5_found": p5_found, "p5_records": p5_records, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_records": p5_records, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
 SQL: dict[str, str] = {
     "p5_found": _P5 + "SELECT DISTINCT first_id, id FROM g WHERE id <> first_id",
     "p5_records": _P5 + "SELECT coalesce(g.first_id, i.id) AS id, count(*) AS copies FROM items i LEFT JOIN g USING (id) GROUP BY 1",
