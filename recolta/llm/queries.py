@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recolta.llm import bpe, contamination, format_copies, residue, visual_form
+from recolta.llm import bpe, contamination, format_copies, pii, residue, visual_form
 from recolta.sources.tables import table
 
 
@@ -36,6 +36,22 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return format_copies.records(table(spark, d, "items"), "id", COPY_FIELDS)
 
 
+PII_FIELDS = ["text_content", "image_captions"]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.findings(table(spark, d, "items"), "id", PII_FIELDS).filter(F.col("pii_type").isin("email", "phone", "id_number", "address", "name"))
+    return found.select("id", "field", "pii_type").distinct()
+
+
+def p6_findings(spark: SparkSession, d: str) -> DataFrame:
+    return pii.findings(table(spark, d, "items"), "id", PII_FIELDS)
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "items"), "id", PII_FIELDS)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -59,7 +75,7 @@ c AS (SELECT id,
 g AS (SELECT min(id) OVER (PARTITION BY head, params, parts) AS first_id, id FROM c)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_records": p5_records, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_findings": p6_findings, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
 SQL: dict[str, str] = {
     "p5_found": _P5 + "SELECT DISTINCT first_id, id FROM g WHERE id <> first_id",
     "p5_records": _P5 + "SELECT coalesce(g.first_id, i.id) AS id, count(*) AS copies FROM items i LEFT JOIN g USING (id) GROUP BY 1",
