@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recolta.llm import bpe, contamination, format_copies, pii, residue, visual_form
+from recolta.llm import bpe, contamination, format_copies, langid, pii, residue, visual_form
 from recolta.sources.tables import table
 
 
@@ -52,6 +52,26 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "items"), "id", PII_FIELDS)
 
 
+def _language_models(items: DataFrame) -> tuple:
+    bad = residue.train(items, "text_content")
+    return langid.train(items, "text_content", "lang", bad), bad
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "items")
+    return langid.mislabelled(items, "id", "text_content", "lang", *_language_models(items)).select("id", "lang").distinct()
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "items")
+    return langid.languages(items, "id", "text_content", _language_models(items)[0])
+
+
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "items")
+    return langid.language_segments(items, "id", "text_content", _language_models(items)[0])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -75,7 +95,7 @@ c AS (SELECT id,
 g AS (SELECT min(id) OVER (PARTITION BY head, params, parts) AS first_id, id FROM c)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_findings": p6_findings, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_findings": p6_findings, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_languages": p7_languages, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
 SQL: dict[str, str] = {
     "p5_found": _P5 + "SELECT DISTINCT first_id, id FROM g WHERE id <> first_id",
     "p5_records": _P5 + "SELECT coalesce(g.first_id, i.id) AS id, count(*) AS copies FROM items i LEFT JOIN g USING (id) GROUP BY 1",

@@ -11,7 +11,8 @@ token: a placeholder of any syntax, a number, a file path or tag. What people wr
 templates or scripts stays, since its other words are those of ordinary passages.
 
 Defined cases: null, empty and blank texts are no cases; ties in the sample are broken by the text's
-hash; an empty table trains on the trusted records only; long texts are scored passage by passage to
+hash; an empty table trains on the trusted
+records and built-in sentences only; long texts are scored passage by passage to
 their end; extra columns are ignored.
 """
 
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from recolta.llm.plain_text import SENTENCES
 from recolta.llm.visual_form import fold
 
 #: Texts of the sample that the classifier is fitted on, chosen by hash, and rounds of EM.
@@ -33,6 +35,8 @@ SAMPLE_TEXTS = 12_000
 #: Characters up to which a text may enter the sample, which bounds what the driver receives.
 LONGEST_SAMPLE = 5_000
 ROUNDS = 6
+#: Greatest share of residue among passages that is assumed beforehand.
+MOST_RESIDUE = 0.05
 #: Log-odds from which a passage is residue.
 LEAST_ODDS = 0.0
 #: Further log-odds that a part of a passage needs.
@@ -307,7 +311,9 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Model:
     """EM over the trusted passages (always positive) and those of the texts."""
     counts = Counter(tuple(p) for t in texts for p in passages(t))
     sure = {tuple(p) for p in trusted()}
-    rows = sorted(sure) + sorted(k for k in counts if k not in sure)
+    plain = {tuple(p) for t in SENTENCES.values() for p in passages(t)}
+    rows = sorted(sure) + sorted({k for k in counts if k not in sure} | plain)
+    ordinary = np.array([r in plain for r in rows])
     fixed = np.array([r in sure or _only_fields(list(r)) for r in rows])
     index: dict[str, int] = {}
     at, of = [], []
@@ -321,7 +327,7 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Model:
     for _ in range(rounds):
         positive, negative = weight * p, weight * (1 - p)
         a, b = np.bincount(of, positive[at], len(index)), np.bincount(of, negative[at], len(index))
-        rate = (positive.sum() + 2) / (weight.sum() + 4)
+        rate = min(MOST_RESIDUE, (positive.sum() + 2) / (weight.sum() + 4))
         # both rates shrink to the feature's overall rate, so what was rarely seen tells little
         overall = (a + b + 0.1) / (weight.sum() + 0.2)
         odds = np.log((a + overall) / (positive.sum() + 1)) - np.log((b + overall) / (negative.sum() + 1))
@@ -329,7 +335,7 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Model:
         odds = np.clip(odds * seen, -4, 4)
         prior = np.log(rate / (1 - rate))
         score = prior + np.bincount(at, odds[of], len(rows))
-        p = np.where(fixed, 1.0, 1 / (1 + np.exp(-np.clip(score, -30, 30))))
+        p = np.where(fixed, 1.0, np.where(ordinary, 0.0, 1 / (1 + np.exp(-np.clip(score, -30, 30)))))
     return Model({f: float(odds[i]) for f, i in index.items() if abs(odds[i]) > 0.05}, float(prior), frozenset(_short()))
 
 
@@ -338,8 +344,8 @@ def train(df: DataFrame, text: str, sample: int = SAMPLE_TEXTS) -> Model:
     t = F.col(text).cast("string")
     # only hashes below a share that holds the sample about twice are sent on, however many rows there are
     share = min(1.0, 2 * sample / max(1, df.count()))
-    short = df.filter(F.length(t) <= LONGEST_SAMPLE).select(t.alias("t"), F.shiftrightunsigned(F.xxhash64(t), 1).alias("h"))
-    chosen = short.filter(F.col("h") <= int(share * (2**63 - 1))).distinct().orderBy("h", "t").limit(sample)
+    short = df.filter(F.length(t) <= LONGEST_SAMPLE).select(t.alias("t"), F.shiftrightunsigned(F.xxhash64(t), 2).alias("h"))
+    chosen = short.filter(F.col("h") < int(share * 2**62)).distinct().orderBy("h", "t").limit(sample)
     texts = sorted(r.t for r in chosen.collect())
     return fit(sorted(set(fold(pa.array(texts, pa.string())).to_pylist())))
 
