@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recolta.llm import bpe, contamination, format_copies, langid, pii, residue, visual_form
+from recolta.llm import bpe, contamination, format_copies, langid, pii, residue, stuffing, visual_form
 from recolta.sources.tables import table
 
 
@@ -84,6 +84,14 @@ def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return contamination.cleaned(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.judged(table(spark, d, "documents"), "doc_id", "text").drop("h")
+
+
 _SKIPPED = r"[\s\p{P}$+<=>^`|~]"
 _P5 = f"""
 WITH l AS (SELECT id, lower(url) AS u, lower(dedupe_key) AS k FROM items),
@@ -95,7 +103,7 @@ c AS (SELECT id,
 g AS (SELECT min(id) OVER (PARTITION BY head, params, parts) AS first_id, id FROM c)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_findings": p6_findings, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_languages": p7_languages, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_findings": p6_findings, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_languages": p7_languages, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned, "p10_found": p10_found, "p10_scores": p10_scores}
 SQL: dict[str, str] = {
     "p5_found": _P5 + "SELECT DISTINCT first_id, id FROM g WHERE id <> first_id",
     "p5_records": _P5 + "SELECT coalesce(g.first_id, i.id) AS id, count(*) AS copies FROM items i LEFT JOIN g USING (id) GROUP BY 1",
