@@ -1,8 +1,8 @@
-"""Joins and ranks that stay balanced when one key holds a large share of the rows."""
+"""Joins that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rows of one key from which it counts as heavy, and the parts that a heavy key is split into.
 HEAVY_ROWS = 20_000
@@ -29,13 +29,3 @@ def join_unique(facts: DataFrame, dim: DataFrame, on: list[str], counts: DataFra
     hot = counts.filter(heavy).select(*on, F.lit(True).alias("_hot"))  # bounded by MOST_HEAVY with heavy_threshold()
     salted = facts.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(F.lit(-1))).drop("_hot")
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
-
-
-def rank_within(df: DataFrame, keys: list[str], order: list[Column], bound: int, spread: Column, name: str, salts: int = SALTS) -> DataFrame:
-    """row_number over keys, kept up to `bound`, in two steps so that no task sorts a whole hot key.
-
-    First each of `salts` parts of a key keeps its own first `bound` rows, then the parts meet.
-    """
-    part = df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    first = part.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))).filter(F.col("_r") <= bound).drop("_r", "_part")
-    return first.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= bound)
