@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recolta.llm import bpe, contamination, format_copies, langid, pii, residue, stuffing, visual_form
+from recolta.llm import bpe, contamination, format_copies, langid, pii, residue, stuffing, varied_subset, visual_form
 from recolta.sources.tables import table
 
 
+#: Keys that the subset query chooses.
+SUBSET_SIZE = 1000
+
+
+def p1_subset(spark: SparkSession, d: str) -> DataFrame:
+    return varied_subset.choose(table(spark, d, "feed_items"), "id", ["cluster_id", "semantic_group", "platform"], SUBSET_SIZE, "score")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.lookalike_pairs(table(spark, d, "items"), "id", ["text_content", "author"])
 
@@ -103,8 +111,19 @@ c AS (SELECT id,
 g AS (SELECT min(id) OVER (PARTITION BY head, params, parts) AS first_id, id FROM c)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_findings": p6_findings, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_languages": p7_languages, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned, "p10_found": p10_found, "p10_scores": p10_scores}
+_bin = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE '+' || lower(trim({c})) END"
+_P1 = f"""
+WITH b AS (SELECT id, coalesce(score, '-inf'::DOUBLE) AS s, {_bin("cluster_id")} AS a0, {_bin("semantic_group")} AS a1, {_bin("platform")} AS a2, ('0x' || substr(md5(id), 1, 15))::BIGINT AS h FROM feed_items WHERE id IS NOT NULL),
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, a0 DESC, a1 DESC, a2 DESC) = 1),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY a0, a1, a2 ORDER BY h, id) AS r0 FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY a0, r0 ORDER BY h, id) AS r1, row_number() OVER (PARTITION BY a1, r0 ORDER BY h, id) AS r2 FROM r0),
+p AS (SELECT id, a2, row_number() OVER (PARTITION BY a2 ORDER BY greatest(r0, r1, r2), h, id) AS turn FROM r)
+SELECT id, turn FROM p ORDER BY turn, a2 LIMIT {SUBSET_SIZE}
+"""
+
+QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_findings": p6_findings, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_languages": p7_languages, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned, "p10_found": p10_found, "p10_scores": p10_scores}
 SQL: dict[str, str] = {
+    "p1_subset": _P1,
     "p5_found": _P5 + "SELECT DISTINCT first_id, id FROM g WHERE id <> first_id",
     "p5_records": _P5 + "SELECT coalesce(g.first_id, i.id) AS id, count(*) AS copies FROM items i LEFT JOIN g USING (id) GROUP BY 1",
 }

@@ -4,8 +4,8 @@ Over the whole corpus, words and pairs of neighbouring words are counted by docu
 pointwise mutual information says how well its words belong together in *other* documents; a
 document's mean over its pairs measures coherence: word salad around a keyword lies low, and the
 same few collocations over and over lie high. How many different words a text of its length has is
-held against the growth of the vocabulary with length, fitted on the corpus itself: keyword pages
-repeat far more than any prose. A page of which links, tags and handles are the greater part is a
+held against the growth of the vocabulary with length, fitted on the corpus itself, over stretches of
+STRETCH words so that long texts compare with short ones: keyword pages repeat far more than prose. A page of which links, tags and handles are the greater part is a
 link list.
 
 Sentences or lines of six words or more count once in a document, so refrains, quotes and repeated
@@ -36,18 +36,22 @@ from recolta.session import materialize
 #: Share of characters in links and tags from which a page is a link list.
 LINK_SHARE = 0.5
 #: Excess repetition from which a page is stuffed, and what mean PMI above COHERENT adds to it.
-REPETITION, COHERENT, PMI_WEIGHT = 0.85, 2.3, 0.35
+REPETITION, COHERENT, PMI_WEIGHT = 0.65, 2.3, 0.35
 #: A text with LEAST_WORDS words of which one has KEYWORD_SHARE, which is incoherent or repetitive, is salad.
-KEYWORD_SHARE, LEAST_WORDS, INCOHERENT, SALAD_REPETITION = 0.2, 25, 0.0, 0.42
+KEYWORD_SHARE, LEAST_WORDS, SALAD_REPETITION = 0.2, 25, 0.42
+#: So is a text of which one word has INCOHERENT_SHARE and whose mean PMI is at most INCOHERENT.
+INCOHERENT_SHARE, INCOHERENT = 0.35, 0.0
+#: Words of the stretches in which different words are counted.
+STRETCH = 200
 #: Pairs that are broadcast at most.
 MOST_BROADCAST = 500_000
-#: log(different words) = intercept + slope * log(words), where fewer than LEAST_DOCUMENTS documents are there to fit it.
+#: mean log(different words) of a stretch = intercept + slope * log(its words), where fewer than LEAST_DOCUMENTS documents are there to fit it.
 FALLBACK_GROWTH, LEAST_DOCUMENTS = (0.36, 0.87), 200
 
 LINK = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|www\.\S+|(?<!\w)[#@]\w+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
-_DOCUMENT = "words int, types int, top double, link_share double, pairs int"
+_DOCUMENT = "words int, log_words double, log_types double, top double, link_share double, pairs int"
 
 
 def document_words(text: str) -> tuple[list[list[str]], float]:
@@ -70,12 +74,22 @@ def document_words(text: str) -> tuple[list[list[str]], float]:
     return out, linked / max(1, total)
 
 
+def _stretches(words: list[int]) -> tuple[float, float]:
+    """Means of log(words) and log(different words) over equal stretches of at most STRETCH words."""
+    if not words:
+        return 0.0, 0.0
+    parts = -(-len(words) // STRETCH)
+    cuts = [len(words) * i // parts for i in range(parts + 1)]
+    sizes = [(b - a, len(set(words[a:b]))) for a, b in zip(cuts, cuts[1:])]
+    return sum(math.log(n) for n, _ in sizes) / parts, sum(math.log(t) for _, t in sizes) / parts
+
+
 def _features(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h, words, types, top, link_share, pairs, pair, first, second, times): each document with its
+    """(key, h, words, log_words, log_types, top, link_share, pairs, pair, first, second, times): each document with its
     different pairs as arrays of hashes. h tells apart documents of the same key."""
     kind = dict(df.dtypes)[key]
     ids: dict[str, int] = {}
-    names = [key, "h", "words", "types", "top", "link_share", "pairs", "pair", "first", "second", "times"]
+    names = [key, "h", "words", "log_words", "log_types", "top", "link_share", "pairs", "pair", "first", "second", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +113,7 @@ def _features(df: DataFrame, key: str, text: str) -> DataFrame:
                         flat.append(h), sentence.append(part), owner.append(i)
                         own[h] = own.get(h, 0) + 1
                     n += len(words)
-                stats.append((n, len(own), max(own.values(), default=0) / max(1, n), share))
+                stats.append((n, *_stretches(flat[len(flat) - n :]), max(own.values(), default=0) / max(1, n), share))
             w, s, o = np.array(flat, np.uint64), np.array(sentence, np.int64), np.array(owner, np.int64)
             near = s[:-1] == s[1:] if len(s) else np.zeros(0, bool)
             a, b, doc = w[:-1][near], w[1:][near], o[:-1][near]
@@ -113,7 +127,7 @@ def _features(df: DataFrame, key: str, text: str) -> DataFrame:
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(batch)))]).astype(np.int32))
             longs = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64)))
             pairs = np.bincount(doc, minlength=len(batch)).astype(np.int32)
-            columns = [pa.array([x[j] for x in stats], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.float64()))]
+            columns = [pa.array([x[j] for x in stats], kind) for j, kind in enumerate((pa.int32(), *[pa.float64()] * 4))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array(pairs), longs(p[at]), longs(a[at]), longs(b[at]), pa.ListArray.from_arrays(offsets, pa.array(times))], names)
 
     t = F.col(text).cast("string")
@@ -124,27 +138,32 @@ def _features(df: DataFrame, key: str, text: str) -> DataFrame:
 def pair_information(docs: DataFrame, total: int) -> DataFrame:
     """(pair, n, pmi): for each pair the documents with it, and its mutual information in the documents
     other than one that holds it, smoothed by half a document."""
-    pairs = docs.select(F.explode(F.arrays_zip("pair", "first", "second")).alias("x")).groupBy(F.col("x.pair").alias("pair")).agg(F.count(F.lit(1)).alias("n"), F.min("x.first").alias("first"), F.min("x.second").alias("second"))
-    words = docs.select(F.explode(F.array_distinct(F.concat("first", "second"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    # words and pairs are counted in one pass over the documents; a word stands as its own pair, without parts
+    pair = F.transform(F.arrays_zip("pair", "first", "second"), lambda x: F.struct(F.lit(True).alias("is_pair"), x["pair"].alias("h"), x["first"].alias("first"), x["second"].alias("second")))
+    word = F.transform(F.array_distinct(F.concat("first", "second")), lambda x: F.struct(F.lit(False).alias("is_pair"), x.alias("h"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second")))
+    each = docs.select(F.explode(F.concat(pair, word)).alias("x")).select("x.*")
+    counts = materialize(each.groupBy("is_pair", "h").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.min("second").alias("second")), "pair-counts")
+    pairs = counts.filter("is_pair").select(F.col("h").alias("pair"), "n", "first", "second")
+    words = counts.filter("not is_pair").select(F.col("h").alias("word"), F.col("n").alias("c"))
     known = pairs.join(words.select(F.col("word").alias("first"), F.col("c").alias("c1")), "first").join(words.select(F.col("word").alias("second"), F.col("c").alias("c2")), "second")
     expected = (F.col("c1") - 1) * (F.col("c2") - 1) / F.lit(total)
     return known.select("pair", "n", F.log((F.col("n") - 0.5) / (expected + 0.5)).alias("pmi"))
 
 
 def coherence(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(key, h, words, types, top, link_share, pairs, pmi) of every document with a text; pmi is the mean over
+    """(key, h, words, log_words, log_types, top, link_share, pairs, pmi) of every document with a text; pmi is the mean over
     its pairs of neighbours, null without pairs."""
     docs = _features(df, key, text)
     known = materialize(pair_information(docs, max(1, df.filter(F.trim(F.col(text).cast("string")) != "").count())), "pairs")
     # the fewest documents of a broadcast pair, so that at most most_broadcast pairs are
     sizes = known.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().orderBy(F.desc("k")).collect()  # at most 63 rows
-    least, taken = 63, 0
+    least, taken = 62, 0
     for r in sizes:
         if taken + r["count"] > most_broadcast:
             break
         least, taken = r.k, taken + r["count"]
     frequent = known.filter(F.col("n") >= 2**least).select("pair", "pmi")
-    own = [key, "h", "words", "types", "top", "link_share", "pairs"]
+    own = [key, "h", "words", "log_words", "log_types", "top", "link_share", "pairs"]
     each = docs.select(*own, F.explode_outer(F.arrays_zip("pair", "times")).alias("x")).select(*own, "x.pair", "x.times")
     looked = each.join(F.broadcast(frequent), "pair", "left")
     found = looked.filter(F.col("pmi").isNotNull() | F.col("pair").isNull())
@@ -158,8 +177,8 @@ def coherence(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BRO
 
 
 def growth(docs: DataFrame, rounds: int = 3) -> tuple[float, float]:
-    """(intercept, slope) of log(types) against log(words), refitted without outliers; FALLBACK_GROWTH if too few."""
-    x, y = F.log("words"), F.log("types")
+    """(intercept, slope) of log_types against log_words, refitted without outliers; FALLBACK_GROWTH if too few."""
+    x, y = F.col("log_words"), F.col("log_types")
     usable = docs.filter(F.col("words") >= 10)
     line, spread = FALLBACK_GROWTH, math.inf
     for _ in range(rounds):
@@ -179,10 +198,10 @@ def judged(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BROADC
     and `stuffed`."""
     docs = materialize(coherence(df, key, text, most_broadcast), "coherence")
     a, b = growth(docs)
-    repetition = F.when(F.col("words") > 0, F.lit(a) + F.lit(b) * F.log("words") - F.log("types")).otherwise(0.0)
+    repetition = F.when(F.col("words") > 0, F.lit(a) + F.lit(b) * F.col("log_words") - F.col("log_types")).otherwise(0.0)
     pmi, enough = F.coalesce("pmi", F.lit(0.0)), F.col("words") >= LEAST_WORDS
     repeated = enough & (F.col("repetition") + PMI_WEIGHT * F.greatest(F.lit(0.0), pmi - COHERENT) >= REPETITION)
-    salad = enough & (F.col("top") >= KEYWORD_SHARE) & ((pmi <= INCOHERENT) | (F.col("repetition") >= SALAD_REPETITION))
+    salad = enough & ((F.col("top") >= KEYWORD_SHARE) & (F.col("repetition") >= SALAD_REPETITION) | (F.col("top") >= INCOHERENT_SHARE) & (pmi <= INCOHERENT))
     return docs.withColumn("repetition", repetition).withColumn("stuffed", (F.col("link_share") >= LINK_SHARE) | repeated | salad)
 
 
