@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from recolta.config import EngineConfig
-from recolta.functions import scores as S, text as T, urls as U
+from recolta.functions import classify as C, scores as S, text as T, urls as U
 from recolta.operators import items as I
 
 #: Constants of BM25 and of reciprocal-rank fusion.
@@ -85,11 +85,11 @@ def hash_embedding(df: DataFrame, key: str, text: str, dimensions: int = 128) ->
     n = max(16, dimensions)
     hexed = lambda t, a, k: F.conv(F.substring(F.sha2(t, 256), a, k), 16, 10).cast("long")
     part = lambda t: F.struct((hexed(t, 1, 4) % n).cast("int").alias("i"), (F.when(hexed(t, 5, 2) % 2 == 0, 1.0).otherwise(-1.0) * (1.0 + hexed(t, 7, 2) / 255.0 * 0.2)).alias("w"))
-    parts = df.select(key, F.transform(T.tokens(F.col(text)), part).alias("p"))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda d: F.aggregate(F.filter("p", lambda x: x["i"] == d), F.lit(0.0), lambda s, x: s + x["w"]))
-    made = parts.select(key, sums.alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return made.withColumn("_n", norm).select(key, F.when(F.col("_n") > 0, F.transform("v", lambda x: x / F.col("_n"))).otherwise(F.col("v")).alias("vector"))
+    weight = lambda p, i: F.aggregate(F.filter(p, lambda x: x["i"] == i), F.lit(0.0), lambda s, x: s + x["w"])
+    sums = lambda p: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: weight(p, i))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda v: U.let(norm(v), lambda m: F.when(m > 0, F.transform(v, lambda x: x / m)).otherwise(v))
+    return df.select(key, U.let(F.transform(T.tokens(F.col(text)), part), lambda p: U.let(sums(p), unit)).alias("vector"))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -116,23 +116,27 @@ def diversity(df: DataFrame, cluster: str, platform: str, order: list[Column], f
     return df.withColumn("_raw", raw).withColumn("score", F.round(F.col("score") - F.col("_raw"), 8)).withColumn("diversity_penalty", F.round("_raw", 6)).drop("_raw")
 
 
-def hybrid(enriched: DataFrame, query: str, cfg: EngineConfig, limit: int = 10, days_back: int | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """Search over enriched items: BM25 and vectors, fused, scored with a trace and reranked.
+def hybrid(items: DataFrame, query: str, cfg: EngineConfig, limit: int = 10, days_back: int | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Search over items: BM25 and vectors, fused, scored with a trace and reranked.
 
-    vectors (id, vector) default to hash embeddings. Only ids and scores pass through the fusion; rows
-    are joined to the few that remain. A blank query gives no rows.
+    vectors (id, vector) default to hash embeddings. The legs read only their own columns; only ids and
+    ranks pass through the fusion, at most max(4 limit, 40) of them, and only those rows are enriched.
+    A blank query gives no rows.
     """
+    spark = items.sparkSession
+    if "search_hidden" not in items.columns:
+        items = items.withColumn("search_hidden", C.sensitivity(F.col("text_content"), F.col("url"))[0] == "high")
     if not query.strip():
-        return enriched.limit(0).select("id", F.lit(0.0).alias("score"), F.lit(0).alias("position"))
-    # the two legs read only their own columns
-    own = I.since(I.visible(I.in_namespace(enriched, cfg), cfg), days_back, cfg)
-    lexical = numbered(bm25(own, "id", ["text_content", "author"], query).orderBy(F.desc("bm25"), "id").limit(20), [F.desc("bm25"), F.col("id")])
-    spark = enriched.sparkSession
-    vectors = hash_embedding(own, "id", "text_content") if vectors is None else vectors.join(own.select("id"), "id", "left_semi")
-    q = hash_embedding(spark.createDataFrame([(query,)], "t string").withColumn("id", F.lit("q")), "id", "t").first().vector
-    semantic = numbered(nearest(vectors, "id", "vector", q, 20), [F.col("distance"), F.col("id")])
-    fused = fuse(lexical, semantic, "id", max(4 * limit, 40))
-    rows = own.join(F.broadcast(fused), "id")
+        ranked: list = []
+    else:
+        own = I.since(I.visible(I.in_namespace(items, cfg), cfg), days_back, cfg)
+        lexical = numbered(bm25(own, "id", ["text_content", "author"], query).orderBy(F.desc("bm25"), "id").limit(20), [F.desc("bm25"), F.col("id")])
+        found = hash_embedding(own, "id", "text_content") if vectors is None else vectors.join(own.select("id"), "id", "left_semi")
+        q = hash_embedding(spark.createDataFrame([("q", query)], "id string, t string"), "id", "t").first().vector
+        semantic = numbered(nearest(found, "id", "vector", q, 20), [F.col("distance"), F.col("id")])
+        ranked = fuse(lexical, semantic, "id", max(4 * limit, 40)).collect()
+    fused = spark.createDataFrame(ranked, "id string, rrf double, rank int")
+    rows = I.enrich(items.drop("search_hidden").join(F.broadcast(fused), "id"), cfg)
     rows = rows.withColumn("cluster", U.cluster_key(F.col("canonical_url"), F.col("url"), F.col("text_content"))).withColumn("base", T.clamp(1.0 / (1.0 + F.col("rrf"))))
     few = rows.orderBy("rank").limit(3 * limit)
     few = few.withColumn("dup", F.when(F.row_number().over(W.partitionBy("cluster").orderBy("rank")) > 1, 0.12).otherwise(0.0))
@@ -175,15 +179,15 @@ def feed(enriched: DataFrame, cfg: EngineConfig, mode: str = "default", limit: i
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def resurface(enriched: DataFrame, query: str, cfg: EngineConfig, limit: int = 5, source_id: str | None = None) -> DataFrame:
+def resurface(items: DataFrame, query: str, cfg: EngineConfig, limit: int = 5, source_id: str | None = None) -> DataFrame:
     """Related memories of a context: search hits without the source, with a heat bonus and what heat they gain."""
-    found = hybrid(enriched, T_first_words(query), cfg, min(max(3 * limit, limit + 5), 30))
-    heat = enriched.select("id", "heat")
+    found = hybrid(items, first_words(query), cfg, min(max(3 * limit, limit + 5), 30))
+    heat = items.select("id", "heat")
     rows = found.join(heat, "id").withColumn("surface_score", F.round(F.col("score") + 0.1 * F.coalesce("heat", F.lit(1.0)), 6)).withColumn("heat_delta", F.greatest(F.lit(0.12), 0.42 - 0.04 * (F.col("position") - 1)))
     rows = rows.filter(F.col("id") != source_id) if source_id else rows
     return rows.orderBy(F.desc("surface_score"), "id").limit(limit).select("id", "surface_score", "heat_delta")
 
 
-def T_first_words(query: str, n: int = 140) -> str:
+def first_words(query: str, n: int = 140) -> str:
     """The first words of a context."""
     return " ".join(query.split()[:n])

@@ -93,15 +93,15 @@ def diversity_rerank(s: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    return R.hybrid(enriched(s, d), QUERY, CFG, 10).select("position", "id", "score", "diversity_penalty", "text_excerpt")
+    return R.hybrid(items(s, d), QUERY, CFG, 10).select("position", "id", "score", "diversity_penalty", "text_excerpt")
 
 
 def retrieval_trace(s: SparkSession, d: str) -> DataFrame:
-    return _flat(R.hybrid(enriched(s, d), QUERY, CFG, 10).select("position", "id", "trace", F.array_join("matched", ",").alias("matched")))
+    return _flat(R.hybrid(items(s, d), QUERY, CFG, 10).select("position", "id", "trace", F.array_join("matched", ",").alias("matched")))
 
 
 def rag_context(s: SparkSession, d: str) -> DataFrame:
-    return R.rag_context(R.hybrid(enriched(s, d), QUERY, CFG, 8), "position", CFG)
+    return R.rag_context(R.hybrid(items(s, d), QUERY, CFG, 8), "position", CFG)
 
 
 def context_lines(s: SparkSession, d: str) -> DataFrame:
@@ -114,7 +114,7 @@ def _feed(mode: str):
 
 
 def resurface(s: SparkSession, d: str) -> DataFrame:
-    return R.resurface(enriched(s, d), QUERY, CFG)
+    return R.resurface(items(s, d), QUERY, CFG)
 
 
 def library_feed(s: SparkSession, d: str) -> DataFrame:
