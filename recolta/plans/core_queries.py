@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recolta.config import EngineConfig
 from recolta.functions import classify as C, scores as S, text as T, urls as U
 from recolta.operators import analytics as A, extract as X, items as I, lifecycle as L, near_dup as N, search as R
+from recolta.plans.core_sql import SQL  # noqa: F401
 from recolta.sources.tables import table
 from recolta.streaming import sequential as Q
 
@@ -25,12 +26,17 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
     return I.enrich(items(spark, d), CFG)
 
 
+def stamp(c: str) -> F.Column:
+    """An instant as text in UTC."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+
+
 def _flat(df: DataFrame) -> DataFrame:
     return df.select("*", "trace.*").drop("trace")
 
 
 def list_items(s: SparkSession, d: str) -> DataFrame:
-    return I.newest(I.in_namespace(items(s, d), CFG), 50, 10, "twitter").select("id", "platform", "captured_at")
+    return I.newest(I.in_namespace(items(s, d), CFG), 50, 10, "twitter").select("id", "platform", stamp("captured_at"))
 
 
 def point_lookup(s: SparkSession, d: str) -> DataFrame:
@@ -43,7 +49,7 @@ def multi_get(s: SparkSession, d: str) -> DataFrame:
 
 
 def timeline_day(s: SparkSession, d: str) -> DataFrame:
-    return I.newest(I.on_day(items(s, d), "2026-03-10")).select("id", "captured_at", "platform")
+    return I.newest(I.on_day(items(s, d), "2026-03-10")).select("id", stamp("captured_at"), "platform")
 
 
 def hour_groups(s: SparkSession, d: str) -> DataFrame:
@@ -169,9 +175,13 @@ def sanitize(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", C.sanitize(F.col("text")).alias("clean"))
 
 
-def topics_entities(s: SparkSession, d: str) -> DataFrame:
+def topics(s: SparkSession, d: str) -> DataFrame:
+    return items(s, d).select("id", F.array_join(T.topics(F.col("text_content")), ",").alias("topics"))
+
+
+def entities(s: SparkSession, d: str) -> DataFrame:
     t, e = T.topics(F.col("text_content")), T.entities(F.col("text_content"))
-    return items(s, d).select("id", F.array_join(t, ",").alias("topics"), F.array_join(e, ",").alias("entities"), T.semantic_group(t, e).alias("semantic_group"))
+    return items(s, d).select("id", F.array_join(e, ",").alias("entities"), T.semantic_group(t, e).alias("semantic_group"))
 
 
 def clip_summaries(s: SparkSession, d: str) -> DataFrame:
@@ -290,7 +300,7 @@ def repair(s: SparkSession, d: str) -> DataFrame:
 
 
 def lifecycle_fold(s: SparkSession, d: str) -> DataFrame:
-    return L.fold(table(s, d, "memory_events")).select("memory_id", "state", "reinforcement", "events", "first_at", "last_at")
+    return L.fold(table(s, d, "memory_events")).select("memory_id", "state", "reinforcement", "events", stamp("first_at"), stamp("last_at"))
 
 
 def heatmap(s: SparkSession, d: str) -> DataFrame:
@@ -298,7 +308,7 @@ def heatmap(s: SparkSession, d: str) -> DataFrame:
 
 
 def event_timeline(s: SparkSession, d: str) -> DataFrame:
-    return L.latest(table(s, d, "memory_events"), table(s, d, "memory_nodes"), "default", 200)
+    return L.latest(table(s, d, "memory_events"), table(s, d, "memory_nodes"), "default", 200).withColumn("created_at", stamp("created_at"))
 
 
 def memory_nodes(s: SparkSession, d: str) -> DataFrame:
@@ -361,7 +371,7 @@ def tumbling_counts(s: SparkSession, d: str) -> DataFrame:
     from recolta.streaming.pipelines import tumbling
 
     e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return tumbling(e, "ts", ["event_type"], "1 hour")
+    return tumbling(e, "ts", ["event_type"], "1 hour").withColumn("window_start", stamp("window_start"))
 
 
 def dwell_sessions(s: SparkSession, d: str) -> DataFrame:
@@ -377,9 +387,8 @@ def export_lines(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     list_items, point_lookup, multi_get, timeline_day, hour_groups, bm25_search, phrase_search, postings_stats, vector_knn, cosine_by_label, hash_embedding, rrf_fusion, diversity_rerank, hybrid_search, retrieval_trace,
-    rag_context, context_lines, resurface, library_feed, decay_states, ranking_primitives, auto_archive, heat_decay, additive_rank, noise, prompt_risk, sensitivity, redact, sanitize, topics_entities, clip_summaries, embedding_text,
+    rag_context, context_lines, resurface, library_feed, decay_states, ranking_primitives, auto_archive, heat_decay, additive_rank, noise, prompt_risk, sensitivity, redact, sanitize, topics, entities, clip_summaries, embedding_text,
     canonical_urls, cluster_keys, fingerprints, capture_confidence, keep_first, insert_ignore, patch_items, bump_heat, mark_surfaced, stats_overview, by_platform, by_type, reliability, dashboard, recall_eval, evaluation, failure_cases,
     rank_metrics, token_reduction, latency_percentiles, verify_findings, repair, lifecycle_fold, heatmap, event_timeline, memory_nodes, forget, conflicts, relations, graph_degree, near_dup_similarity, html_extract, rate_limit,
     circuit_breaker, backoff, debounce, tumbling_counts, dwell_sessions, export_lines,
 )} | {f"feed_{m}": _feed(m) for m in ("default", "focus", "light", "explore")}
-SQL: dict[str, str] = {}
