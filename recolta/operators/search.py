@@ -26,20 +26,21 @@ def postings(df: DataFrame, key: str, fields: list[str], positions: bool = False
     return docs.select(key, "doclen", F.explode("_t").alias("term")).groupBy(key, "doclen", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(df: DataFrame, key: str, fields: list[str], query: str) -> DataFrame:
-    """(key, bm25) of the rows that hold all terms of the query. Statistics count all rows.
+def bm25(df: DataFrame, key: str, fields: list[str], query: str, keep: list[str] | None = None) -> DataFrame:
+    """(key, bm25, and the columns in `keep`) of the rows that hold all terms of the query. Statistics count all rows.
 
     One pass over the rows counts lengths and the query's terms in place by array functions, so the
     text is never exploded; only matching rows leave the scan. No terms, no rows.
     """
     wanted = list(dict.fromkeys(T.query_terms(query)))
     terms = F.flatten(F.array(*[T.terms(F.col(c)) for c in fields]))
-    docs = df.select(key, terms.alias("_t"))
+    keep = keep or []
+    docs = df.select(key, *keep, terms.alias("_t"))
     if not wanted:
-        return df.limit(0).select(key, F.lit(0.0).alias("bm25"))
+        return df.limit(0).select(key, F.lit(0.0).alias("bm25"), *keep)
     count = lambda w: F.size(F.filter("_t", lambda x: x == F.lit(w)))
     tf = [count(w).alias(f"_f{i}") for i, w in enumerate(wanted)]
-    counted = docs.select(key, F.size("_t").alias("_len"), *tf)
+    counted = docs.select(key, *keep, F.size("_t").alias("_len"), *tf)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(wanted))]).first()
     score = F.lit(0.0)
     for i in range(len(wanted)):
@@ -49,7 +50,7 @@ def bm25(df: DataFrame, key: str, fields: list[str], query: str) -> DataFrame:
     every = F.lit(True)
     for i in range(len(wanted)):
         every = every & (F.col(f"_f{i}") > 0)
-    return counted.filter(every).select(key, score.alias("bm25"))
+    return counted.filter(every).select(key, score.alias("bm25"), *keep)
 
 
 def phrase(df: DataFrame, key: str, fields: list[str], query: str) -> DataFrame:
@@ -77,19 +78,38 @@ def nearest(df: DataFrame, key: str, vector: str, query: list[float], limit: int
     return df.select(key, l2(F.col(vector), q).alias("distance")).orderBy("distance", key).limit(limit)
 
 
-def hash_embedding(df: DataFrame, key: str, text: str, dimensions: int = 128) -> DataFrame:
-    """(key, vector): signed token hashes, summed per dimension and normalised, by built-in functions.
+def _signed_hashes(text: Column, n: int) -> Column:
+    """array<struct<i, w>>: the dimension and signed weight of each token."""
+    hexed = lambda h, a, k: F.conv(F.substring(h, a, k), 16, 10).cast("long")
+    part = lambda h: F.struct((hexed(h, 1, 4) % n).cast("int").alias("i"), (F.when(hexed(h, 5, 2) % 2 == 0, 1.0).otherwise(-1.0) * (1.0 + hexed(h, 7, 2) / 255.0 * 0.2)).alias("w"))
+    return F.transform(F.transform(T.tokens(text), lambda t: F.sha2(t, 256)), part)
 
-    All stays within a row: tokens become (index, weight) pairs, whose sums fill the vector.
-    """
+
+def hash_embedding(df: DataFrame, key: str, text: str, dimensions: int = 128) -> DataFrame:
+    """(key, vector): signed token hashes, summed per dimension and normalised, by built-in functions within a row."""
     n = max(16, dimensions)
-    hexed = lambda t, a, k: F.conv(F.substring(F.sha2(t, 256), a, k), 16, 10).cast("long")
-    part = lambda t: F.struct((hexed(t, 1, 4) % n).cast("int").alias("i"), (F.when(hexed(t, 5, 2) % 2 == 0, 1.0).otherwise(-1.0) * (1.0 + hexed(t, 7, 2) / 255.0 * 0.2)).alias("w"))
     weight = lambda p, i: F.aggregate(F.filter(p, lambda x: x["i"] == i), F.lit(0.0), lambda s, x: s + x["w"])
     sums = lambda p: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: weight(p, i))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     unit = lambda v: U.let(norm(v), lambda m: F.when(m > 0, F.transform(v, lambda x: x / m)).otherwise(v))
-    return df.select(key, U.let(F.transform(T.tokens(F.col(text)), part), lambda p: U.let(sums(p), unit)).alias("vector"))
+    return df.select(key, U.let(_signed_hashes(F.col(text), n), lambda p: U.let(sums(p), unit)).alias("vector"))
+
+
+def nearest_text(df: DataFrame, key: str, text: str, query: list[float], limit: int = 20) -> DataFrame:
+    """nearest() over hash_embedding() without making the vectors: of each row's sorted token hashes one pass sums
+    the norm and the product with the query vector, in time linear in the text."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    start = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sq"), F.lit(0.0).alias("dot"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["i"] == x["i"]
+        return F.struct(x["i"].alias("i"), F.when(same, s["run"] + x["w"]).otherwise(x["w"]).alias("run"), F.when(same, s["sq"]).otherwise(s["sq"] + s["run"] * s["run"]).alias("sq"), (s["dot"] + x["w"] * F.element_at(q, x["i"] + 1)).alias("dot"))
+
+    norm = lambda s: F.sqrt(s["sq"] + s["run"] * s["run"])
+    size = float(sum(x * x for x in query))
+    distance = lambda s: F.when(norm(s) > 0, 1.0 + size - 2.0 * s["dot"] / norm(s)).otherwise(F.lit(size))
+    made = F.aggregate(F.array_sort(_signed_hashes(F.col(text), len(query))), start, step, distance)
+    return df.select(key, made.alias("distance")).orderBy("distance", key).limit(limit)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -124,19 +144,30 @@ def hybrid(items: DataFrame, query: str, cfg: EngineConfig, limit: int = 10, day
     A blank query gives no rows.
     """
     spark = items.sparkSession
-    if "search_hidden" not in items.columns:
-        items = items.withColumn("search_hidden", C.sensitivity(F.col("text_content"), F.col("url"))[0] == "high")
     if not query.strip():
         ranked: list = []
     else:
-        own = I.since(I.visible(I.in_namespace(items, cfg), cfg), days_back, cfg)
-        lexical = numbered(bm25(own, "id", ["text_content", "author"], query).orderBy(F.desc("bm25"), "id").limit(20), [F.desc("bm25"), F.col("id")])
-        found = hash_embedding(own, "id", "text_content") if vectors is None else vectors.join(own.select("id"), "id", "left_semi")
+        judged = ["namespace", "archived_at", "captured_at", *(["search_hidden"] if "search_hidden" in items.columns else ["text_content", "url"])]
+        open_to = lambda df: I.since(I.visible(I.in_namespace(df, cfg), cfg), days_back, cfg)
+
+        def shown(df: DataFrame) -> DataFrame:  # rows that hold secrets are found by patterns, so only candidates are judged
+            hidden = F.coalesce("search_hidden", F.lit(False)) if "search_hidden" in df.columns else C.sensitivity(F.col("text_content"), F.col("url"))[0] == "high"
+            return df.filter(~hidden) if cfg.hide_sensitive else df
+
+        hits = shown(open_to(bm25(items, "id", ["text_content", "author"], query, judged)))
+        lexical = numbered(hits.select("id", "bm25").orderBy(F.desc("bm25"), "id").limit(20), [F.desc("bm25"), F.col("id")])
+        own = open_to(items)
         q = hash_embedding(spark.createDataFrame([("q", query)], "id string, t string"), "id", "t").first().vector
-        semantic = numbered(nearest(found, "id", "vector", q, 20), [F.col("distance"), F.col("id")])
+        reach = lambda df, n: nearest_text(df, "id", "text_content", q, n) if vectors is None else nearest(vectors.join(df.select("id"), "id", "left_semi"), "id", "vector", q, n)
+        first = reach(own, 100).collect()
+        near = spark.createDataFrame(first, "id string, distance double")
+        close = shown(items.select("id", *judged).join(F.broadcast(near), "id")).select("id", "distance").orderBy("distance", "id").limit(20).collect()
+        if len(close) < 20 and len(first) == 100:  # so many of the nearest are hidden: judge all rows first
+            close = reach(shown(own), 20).collect()
+        semantic = numbered(spark.createDataFrame(close, "id string, distance double"), [F.col("distance"), F.col("id")])
         ranked = fuse(lexical, semantic, "id", max(4 * limit, 40)).collect()
     fused = spark.createDataFrame(ranked, "id string, rrf double, rank int")
-    rows = I.enrich(items.drop("search_hidden").join(F.broadcast(fused), "id"), cfg)
+    rows = I.enrich(items.join(F.broadcast(fused), "id"), cfg)
     rows = rows.withColumn("cluster", U.cluster_key(F.col("canonical_url"), F.col("url"), F.col("text_content"))).withColumn("base", T.clamp(1.0 / (1.0 + F.col("rrf"))))
     few = rows.orderBy("rank").limit(3 * limit)
     few = few.withColumn("dup", F.when(F.row_number().over(W.partitionBy("cluster").orderBy("rank")) > 1, 0.12).otherwise(0.0))

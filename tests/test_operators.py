@@ -31,6 +31,13 @@ def test_hybrid_search(spark):
     assert R.feed(I.enrich(df, CFG), CFG, "explore", 3).count() == 3 and R.resurface(df, "docker", CFG, 2, "1").count() == 2
 
 
+def test_text_distance_equals_vectors(spark):
+    df = items(spark, item("1", "docker tip same post docker"), item("2", "kitchen sink"), item("3", None), item("4", "docker"))
+    q = R.hash_embedding(items(spark, item("q", "docker post")), "id", "text_content").first().vector
+    a, b = ({r.id: round(r.distance, 9) for r in x.collect()} for x in (R.nearest(R.hash_embedding(df, "id", "text_content"), "id", "vector", q), R.nearest_text(df, "id", "text_content", q)))
+    assert a == b
+
+
 def test_bm25_odd_queries(spark):
     df = items(spark, item("1", "a-b c"), item("2", "ünïcode Ünïcode"))
     assert R.bm25(df, "id", ["text_content"], '"; DROP -- *').count() == 0 and R.bm25(df, "id", ["text_content"], "").count() == 0
