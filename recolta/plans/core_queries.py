@@ -336,8 +336,7 @@ def graph_degree(s: SparkSession, d: str) -> DataFrame:
 
 
 def near_dup_similarity(s: SparkSession, d: str) -> DataFrame:
-    i = items(s, d)
-    return N.near_duplicates(i.filter("captured_at < '2026-06-01'"), i.filter("captured_at >= '2026-06-01'"))
+    return N.near_duplicates_within(items(s, d))
 
 
 def html_extract(s: SparkSession, d: str) -> DataFrame:
