@@ -3,7 +3,8 @@
 Over the whole corpus, words and pairs of neighbouring words are counted by document. A pair's
 pointwise mutual information says how well its words belong together in *other* documents; a
 document's mean over its pairs measures coherence: word salad around a keyword lies low, and the
-same few collocations over and over lie high. How many different words a text of its length has is
+same few collocations over and over lie high. Far enough below the documents of its length mean PMI decides
+alone, and so does far above them the share of repeated pairs. How many different words a text of its length has is
 held against the growth of the vocabulary with length, fitted on the corpus itself, over stretches of
 STRETCH words so that long texts compare with short ones: keyword pages repeat far more than prose. A page of which links, tags and handles are the greater part is a
 link list.
@@ -41,6 +42,8 @@ REPETITION, COHERENT, PMI_WEIGHT = 0.65, 2.3, 0.35
 KEYWORD_SHARE, LEAST_WORDS, SALAD_REPETITION = 0.2, 25, 0.42
 #: So is a text of which one word has INCOHERENT_SHARE and whose mean PMI is at most INCOHERENT.
 INCOHERENT_SHARE, INCOHERENT = 0.35, 0.0
+#: How many times as far from the median as the outer twentieth of documents mean PMI or repeated collocations decide alone.
+SPREADS = 5.0
 #: Words of the stretches in which different words are counted.
 STRETCH = 200
 #: Pairs that are broadcast at most.
@@ -151,8 +154,8 @@ def pair_information(docs: DataFrame, total: int) -> DataFrame:
 
 
 def coherence(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(key, h, words, log_words, log_types, top, link_share, pairs, pmi) of every document with a text; pmi is the mean over
-    its pairs of neighbours, null without pairs."""
+    """(key, h, words, log_words, log_types, top, link_share, pairs, collocations, pmi) of every document with a text; pmi is
+    the mean over its pairs of neighbours, null without pairs, and collocations the share of pairs that stood there before."""
     docs = _features(df, key, text)
     known = materialize(pair_information(docs, max(1, df.filter(F.trim(F.col(text).cast("string")) != "").count())), "pairs")
     # the fewest documents of a broadcast pair, so that at most most_broadcast pairs are
@@ -163,7 +166,8 @@ def coherence(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BRO
             break
         least, taken = r.k, taken + r["count"]
     frequent = known.filter(F.col("n") >= 2**least).select("pair", "pmi")
-    own = [key, "h", "words", "log_words", "log_types", "top", "link_share", "pairs"]
+    own = [key, "h", "words", "log_words", "log_types", "top", "link_share", "pairs", "collocations"]
+    docs = docs.withColumn("collocations", F.when(F.col("pairs") > 0, 1 - F.size("pair") / F.col("pairs")).otherwise(0.0))
     each = docs.select(*own, F.explode_outer(F.arrays_zip("pair", "times")).alias("x")).select(*own, "x.pair", "x.times")
     looked = each.join(F.broadcast(frequent), "pair", "left")
     found = looked.filter(F.col("pmi").isNotNull() | F.col("pair").isNull())
@@ -193,6 +197,21 @@ def growth(docs: DataFrame, rounds: int = 3) -> tuple[float, float]:
     return line
 
 
+def limits(docs: DataFrame) -> DataFrame:
+    """(length, low_pmi, high_collocations): by floor(log2(words)), what lies SPREADS times as far from the median as the outer
+    twentieth of the documents does. Lengths with fewer than LEAST_DOCUMENTS documents get the PMI limit of all, a corpus
+    with fewer none; pairs recur more in longer texts, so their limit is only that of a length's own documents."""
+    usable = docs.filter((F.col("words") >= LEAST_WORDS) & F.col("pmi").isNotNull())
+    at = lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(1000))
+    far = lambda c, p: at(c, 0.5) + SPREADS * (at(c, p) - at(c, 0.5))
+    made = [F.count(F.lit(1)).alias("n"), far("pmi", 0.05).alias("low_pmi"), far("collocations", 0.95).alias("high_collocations")]
+    every = usable.agg(*made).first()
+    of_all = lambda c: F.lit(every[c] if every.n >= LEAST_DOCUMENTS else None).cast("double")
+    own = F.col("n") >= LEAST_DOCUMENTS
+    by = usable.groupBy(F.floor(F.log2("words")).cast("int").alias("length")).agg(*made)
+    return by.select("length", F.when(own, F.col("low_pmi")).otherwise(of_all("low_pmi")).alias("low_pmi"), F.when(own, F.col("high_collocations")).alias("high_collocations"))
+
+
 def judged(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """coherence() with `repetition` (how much fewer different words than texts of this length have, in logs),
     and `stuffed`."""
@@ -202,7 +221,11 @@ def judged(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BROADC
     pmi, enough = F.coalesce("pmi", F.lit(0.0)), F.col("words") >= LEAST_WORDS
     repeated = enough & (F.col("repetition") + PMI_WEIGHT * F.greatest(F.lit(0.0), pmi - COHERENT) >= REPETITION)
     salad = enough & ((F.col("top") >= KEYWORD_SHARE) & (F.col("repetition") >= SALAD_REPETITION) | (F.col("top") >= INCOHERENT_SHARE) & (pmi <= INCOHERENT))
-    return docs.withColumn("repetition", repetition).withColumn("stuffed", (F.col("link_share") >= LINK_SHARE) | repeated | salad)
+    # by themselves, against the documents of that length: words that don't belong together, and the same pairs over and over
+    outside = enough & F.coalesce((F.col("pmi") < F.col("low_pmi")) | (F.col("collocations") > F.col("high_collocations")), F.lit(False))
+    known = docs.withColumn("length", F.floor(F.log2("words")).cast("int")).join(F.broadcast(limits(docs)), "length", "left")  # at most 31 rows
+    out = known.withColumn("repetition", repetition).withColumn("stuffed", (F.col("link_share") >= LINK_SHARE) | repeated | salad | outside)
+    return out.drop("length", "low_pmi", "high_collocations")
 
 
 def stuffed(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -51,3 +51,14 @@ def test_found(spark):
 def test_empty(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert S.stuffed(df, "doc_id", "text").count() == 0 and S.stuffed(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_salad_of_many_different_words(spark):
+    rng = random.Random(5)
+    good, _ = corpus()
+    words = sorted({w.strip(".") for _, t in good[:400] for w in t.lower().split()})
+    salad = " ".join(rng.sample(words, len(words)))  # no word twice
+    df = spark.createDataFrame([(k + 10, t) for k, t in good] + [(9, salad)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in S.judged(df, "doc_id", "text").collect()}
+    assert rows[9].repetition < S.SALAD_REPETITION and rows[9].top < S.KEYWORD_SHARE and rows[9].link_share == 0
+    assert {k for k, r in rows.items() if r.stuffed} == {9}
