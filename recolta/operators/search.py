@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from recolta.config import EngineConfig
@@ -78,6 +81,34 @@ def nearest(df: DataFrame, key: str, vector: str, query: list[float], limit: int
     return df.select(key, l2(F.col(vector), q).alias("distance")).orderBy("distance", key).limit(limit)
 
 
+def nearest_all(df: DataFrame, key: str, vector: str, queries: DataFrame, limit: int = 20, block: int = 4096) -> DataFrame:
+    """(query, key, distance): nearest() for each row of queries (key, vector) at once.
+
+    Rows and queries are packed into blocks; each pair of blocks gives the nearest of its own for each query, of which
+    the nearest of all are kept. Null vectors and those of another length than the query have no distance.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def packed(x: DataFrame, size: int, name: str) -> DataFrame:
+        parts = F.lit(max(1, -(-x.count() // size)))
+        own = x.filter(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
+        return own.groupBy(F.pmod(F.xxhash64(key), parts).alias("b"), F.size("v").alias("dim")).agg(F.collect_list(F.struct(F.col(key).alias("k"), "v")).alias(name)).drop("b")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for rows, asked in zip(b["rows"], b["asked"]):
+                keys = np.array([r["k"] for r in rows])
+                vectors = np.array([r["v"] for r in rows], float)
+                for q in asked:
+                    far = ((vectors - np.array(q["v"], float)) ** 2).sum(1)
+                    at = np.lexsort((keys, far))[:limit]
+                    yield pd.DataFrame({"query": q["k"], key: keys[at], "distance": far[at]})
+
+    pairs = packed(df, block, "rows").join(packed(queries, 256, "asked"), "dim").select("rows", "asked")
+    found = pairs.mapInPandas(partial, f"query {kind}, {key} {kind}, distance double")
+    return found.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy("distance", key))).filter(F.col("_n") <= limit).drop("_n")
+
+
 def _signed_hashes(text: Column, n: int) -> Column:
     """array<struct<i, w>>: the dimension and signed weight of each token."""
     hexed = lambda h, a, k: F.conv(F.substring(h, a, k), 16, 10).cast("long")

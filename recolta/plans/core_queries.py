@@ -76,6 +76,11 @@ def vector_knn(s: SparkSession, d: str) -> DataFrame:
     return R.nearest(e, "vec_id", "embedding", q, 20).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def vector_knn_all(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    return R.nearest_all(e, "vec_id", "embedding", e.filter("vec_id % 50 = 0"), 20).withColumn("distance", F.round("distance", 6))
+
+
 def cosine_by_label(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings")
     q = e.filter("vec_id = 0").first().embedding
@@ -385,7 +390,7 @@ def export_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    list_items, point_lookup, multi_get, timeline_day, hour_groups, bm25_search, phrase_search, postings_stats, vector_knn, cosine_by_label, hash_embedding, rrf_fusion, diversity_rerank, hybrid_search, retrieval_trace,
+    list_items, point_lookup, multi_get, timeline_day, hour_groups, bm25_search, phrase_search, postings_stats, vector_knn, vector_knn_all, cosine_by_label, hash_embedding, rrf_fusion, diversity_rerank, hybrid_search, retrieval_trace,
     rag_context, context_lines, resurface, library_feed, decay_states, ranking_primitives, auto_archive, heat_decay, additive_rank, noise, prompt_risk, sensitivity, redact, sanitize, topics, entities, clip_summaries, embedding_text,
     canonical_urls, cluster_keys, fingerprints, capture_confidence, keep_first, insert_ignore, patch_items, bump_heat, mark_surfaced, stats_overview, by_platform, by_type, reliability, dashboard, recall_eval, evaluation, failure_cases,
     rank_metrics, token_reduction, latency_percentiles, verify_findings, repair, lifecycle_fold, heatmap, event_timeline, memory_nodes, forget, conflicts, relations, graph_degree, near_dup_similarity, html_extract, rate_limit,
