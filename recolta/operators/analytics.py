@@ -108,7 +108,11 @@ def failure_cases(docs: DataFrame, text: str, cases: list[tuple[str, list[str],
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """(id, check, detail) of all integrity checks of items. One scan for row checks, one aggregation for fingerprints."""
+    """(id, check, detail) of the integrity checks of items. One scan for row checks, one aggregation for fingerprints.
+
+    Missing embeddings and orphan `item:` references are checked where the table has their columns. Cached files, which lie
+    outside the tables, aren't.
+    """
     bad = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     checks = [
         (bad("id") | bad("url") | bad("platform"), "malformed", F.lit(None)),
@@ -116,11 +120,21 @@ def findings(df: DataFrame) -> DataFrame:
         (F.col("captured_at").isNull(), "missing_timestamp", F.lit(None)),
         (F.col("capture_debug").isNotNull() & F.try_parse_json("capture_debug").isNull(), "invalid_json", F.col("capture_debug")),
     ]
+    if {"embedding_done", "embedding_skipped"} <= {*df.columns}:
+        checks.append((~F.coalesce(F.col("embedding_done").cast("boolean"), F.lit(False)) & ~F.coalesce(F.col("embedding_skipped").cast("boolean"), F.lit(False)), "missing_embedding", F.lit(None)))
+    for c, kind in df.dtypes:
+        if kind == "string" and c in ("related_topics", "related_entities", "quality_flags", "sensitivity_reasons"):
+            checks.append(((F.col(c) != "") & ~F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("ARRAY"), F.lit(False)), "invalid_json_list", F.lit(c)))
     each = F.explode(F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(n).alias("check"), d.cast("string").alias("detail"))) for hit, n, d in checks])))
     rows = df.select("id", each.alias("x")).select("id", "x.check", "x.detail")
     first = df.filter(~bad("dedupe_key")).groupBy("dedupe_key").agg(F.min(F.struct("captured_at", "id")).alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("dedupe_key", F.col("v.id").alias("first"))
     repeated = df.select("id", "dedupe_key").join(first, "dedupe_key").filter("id <> first").select("id", F.lit("duplicate_fingerprint").alias("check"), F.concat("first", F.lit(":"), "id").alias("detail"))
-    return rows.unionByName(repeated)
+    out = rows.unionByName(repeated)
+    if "source_context" in df.columns:
+        ref = F.trim(F.substring("source_context", 6, 2**31 - 1))
+        refs = df.filter(F.col("source_context").startswith("item:")).select("id", ref.alias("detail")).filter("detail <> ''")
+        out = out.unionByName(refs.join(df.select(F.col("id").alias("detail")), "detail", "left_anti").select("id", F.lit("orphan_relationship").alias("check"), "detail"))
+    return out
 
 
 def repaired(df: DataFrame) -> DataFrame:
