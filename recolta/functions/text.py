@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 # Words that are no topics, and words that are no tokens.
@@ -70,6 +72,21 @@ def tokens(c: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(*TOKEN_STOPWORDS))
 
 
+def _marked() -> tuple[str, str]:
+    """Small Latin letters with marks and what they are without; the marks themselves, which have no counterpart, at the end."""
+    parts = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0xC0, 0x1F00)) if c == c.lower()}
+    base = {c: d[0] for c, d in parts.items() if len(d) > 1 and "a" <= d[0] <= "z"}
+    return "".join(base) + "".join(map(chr, range(0x300, 0x370))), "".join(base.values())
+
+
+MARKED, UNMARKED = _marked()
+
+
+def folded(c: Column) -> Column:
+    """Lower case, Latin letters without diacritics."""
+    return F.translate(F.lower(c), MARKED, UNMARKED)
+
+
 def terms(c: Column) -> Column:
     """Index terms: lower case, split at all but letters and digits."""
     return F.filter(F.split(F.lower(text_or_empty(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")

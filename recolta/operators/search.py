@@ -29,14 +29,17 @@ def postings(df: DataFrame, key: str, fields: list[str], positions: bool = False
     return docs.select(key, "doclen", F.explode("_t").alias("term")).groupBy(key, "doclen", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(df: DataFrame, key: str, fields: list[str], query: str, keep: list[str] | None = None) -> DataFrame:
+def bm25(df: DataFrame, key: str, fields: list[str], query: str, keep: list[str] | None = None, fold: bool = False) -> DataFrame:
     """(key, bm25, and the columns in `keep`) of the rows that hold all terms of the query. Statistics count all rows.
+    Fields are strings or lists of strings; with fold, diacritics make no difference.
 
     One pass over the rows counts lengths and the query's terms in place by array functions, so the
     text is never exploded; only matching rows leave the scan. No terms, no rows.
     """
-    wanted = list(dict.fromkeys(T.query_terms(query)))
-    terms = F.flatten(F.array(*[T.terms(F.col(c)) for c in fields]))
+    said = query.lower().translate(str.maketrans(T.MARKED, T.UNMARKED.ljust(len(T.MARKED), "\0"))).replace("\0", "") if fold else query
+    wanted = list(dict.fromkeys(T.query_terms(said)))
+    text = lambda c: T.folded(F.concat_ws(" ", c)) if fold else F.concat_ws(" ", c)
+    terms = F.flatten(F.array(*[T.terms(text(c)) for c in fields]))
     keep = keep or []
     docs = df.select(key, *keep, terms.alias("_t"))
     if not wanted:
@@ -167,6 +170,11 @@ def diversity(df: DataFrame, cluster: str, platform: str, order: list[Column], f
     return df.withColumn("_raw", raw).withColumn("score", F.round(F.col("score") - F.col("_raw"), 8)).withColumn("diversity_penalty", F.round("_raw", 6)).drop("_raw")
 
 
+def indexed(items: DataFrame) -> list[str]:
+    """The columns of the full-text index."""
+    return [c for c in ("text_content", "image_captions", "author") if c in items.columns]
+
+
 def hybrid(items: DataFrame, query: str, cfg: EngineConfig, limit: int = 10, days_back: int | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Search over items: BM25 and vectors, fused, scored with a trace and reranked.
 
@@ -185,7 +193,7 @@ def hybrid(items: DataFrame, query: str, cfg: EngineConfig, limit: int = 10, day
             hidden = F.coalesce("search_hidden", F.lit(False)) if "search_hidden" in df.columns else C.sensitivity(F.col("text_content"), F.col("url"))[0] == "high"
             return df.filter(~hidden) if cfg.hide_sensitive else df
 
-        hits = shown(open_to(bm25(items, "id", ["text_content", "author"], query, judged)))
+        hits = shown(open_to(bm25(items, "id", indexed(items), query, judged, fold=True)))
         lexical = numbered(hits.select("id", "bm25").orderBy(F.desc("bm25"), "id").limit(20), [F.desc("bm25"), F.col("id")])
         own = open_to(items)
         q = hash_embedding(spark.createDataFrame([("q", query)], "id string, t string"), "id", "t").first().vector

@@ -62,6 +62,13 @@ def bm25_search(s: SparkSession, d: str) -> DataFrame:
     return hits.select("id", F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "id").limit(50)
 
 
+def bm25_search_all(s: SparkSession, d: str) -> DataFrame:
+    i = items(s, d)
+    own = I.visible(I.in_namespace(i, CFG), CFG).select("id")
+    hits = R.bm25(i, "id", R.indexed(i), QUERY, fold=True).join(own, "id", "left_semi")
+    return hits.select("id", F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "id").limit(50)
+
+
 def phrase_search(s: SparkSession, d: str) -> DataFrame:
     return R.phrase(items(s, d), "id", ["text_content"], QUERY)
 
@@ -390,7 +397,7 @@ def export_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    list_items, point_lookup, multi_get, timeline_day, hour_groups, bm25_search, phrase_search, postings_stats, vector_knn, vector_knn_all, cosine_by_label, hash_embedding, rrf_fusion, diversity_rerank, hybrid_search, retrieval_trace,
+    list_items, point_lookup, multi_get, timeline_day, hour_groups, bm25_search, bm25_search_all, phrase_search, postings_stats, vector_knn, vector_knn_all, cosine_by_label, hash_embedding, rrf_fusion, diversity_rerank, hybrid_search, retrieval_trace,
     rag_context, context_lines, resurface, library_feed, decay_states, ranking_primitives, auto_archive, heat_decay, additive_rank, noise, prompt_risk, sensitivity, redact, sanitize, topics, entities, clip_summaries, embedding_text,
     canonical_urls, cluster_keys, fingerprints, capture_confidence, keep_first, insert_ignore, patch_items, bump_heat, mark_surfaced, stats_overview, by_platform, by_type, reliability, dashboard, recall_eval, evaluation, failure_cases,
     rank_metrics, token_reduction, latency_percentiles, verify_findings, repair, lifecycle_fold, heatmap, event_timeline, memory_nodes, forget, conflicts, relations, graph_degree, near_dup_similarity, html_extract, rate_limit,
