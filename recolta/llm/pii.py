@@ -19,12 +19,16 @@ are ignored.
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,13 +50,13 @@ Nadia Nicolas Nina Nora Núria Oliver Olivia Oscar Pablo Paolo Patricia Paul Pau
 """
 # What a document that identifies a person is called, and what other numbers are called.
 _ID_WORDS = (
-    r"passports?|passeports?|pasaportes?|passaport[eio]|paspoort(?:nummer)?|reisepass|personalausweis\w*|ausweis(?:nummer|nr)?|ssn|social security|sécurité sociale|seguridad social|segurança social|sozialversicherungs\w*|"
+    r"passports?|passeports?|pasaportes?|passaport[eio]|paspoort(?:nummer)?|reisepass|personalausweis[^\W_]*|ausweis(?:nummer|nr)?|ssn|social security|sécurité sociale|seguridad social|segurança social|sozialversicherungs[^\W_]*|"
     r"ni number|nino|national insurance|national id|identity (?:card|number|document)|id card|id number|carte (?:nationale )?d.identité|carta d.identità|documento de identidad|identiteitskaart|dni|nie|nif|nir|cpf|bsn|burgerservicenummer|"
-    r"steuer-?id\w*|steuernummer|tax (?:id|number|no|identification)\w*|taxpayer|tin|itin|numéro fiscal|identificación fiscal|codice fiscale|driver.?s? licen[cs]e|driving licen[cs]e|führerschein\w*|permis de conduire|permiso de conducir|patente di guida|carta de condução|rijbewijs\w*"
+    r"steuer-?id[^\W_]*|steuernummer|tax (?:id|number|no|identification)[^\W_]*|taxpayer|tin|itin|numéro fiscal|identificación fiscal|codice fiscale|driver.?s? licen[cs]e|driving licen[cs]e|führerschein[^\W_]*|permis de conduire|permiso de conducir|patente di guida|carta de condução|rijbewijs[^\W_]*"
 )
-_OTHER_NUMBERS = r"isbn|issn|ean|sku|order|orders|invoice|rechnung|facture|factura|fattura|fatura|factuur|tracking|parcel|colis|sendung\w*|build|version|v|port|ticket|request|incident|ref|reference|rows|status|error|serial|batch|model|commit|bestellung|bestelnummer|commande|pedido|ordine|encomenda|room|page"
-_PHONE_WORDS = r"call|phone|tel|telephone|telefon\w*|téléphone|teléfono|telefono|telefone|telefoon\w*|mobile|mobil|móvil|cell|handy|portable|text me|sms|whatsapp|ring|fax|(?:new|phone|mobile|cell|neue|nuevo|nouveau|novo|nuovo|nieuwe?|mobil\w*) (?:number|nummer|numéro|número|numero)|(?:número|numero|numéro) (?:nuevo|nouveau|novo|nuovo)|anrufen|erreich\w*|appel\w*|llam\w*|chiam\w*|ligue|ligar|bel|reach me|dial"
-_NAME_WORDS = r"form says|name|badge|card of|addressed to|label|signed|contact|kontakt|contacto|met|ask|fragt|pregunta|booked under|talk by|thanks to|belongs to|reading|dear|mr|mrs|ms|dr|herr|frau|madame|monsieur|señora?|sr|sra|deliver\w*|for|by"
+_OTHER_NUMBERS = r"isbn|issn|ean|sku|order|orders|invoice|rechnung|facture|factura|fattura|fatura|factuur|tracking|parcel|colis|sendung[^\W_]*|build|version|v|port|ticket|request|incident|ref|reference|rows|status|error|serial|batch|model|commit|bestellung|bestelnummer|commande|pedido|ordine|encomenda|room|page"
+_PHONE_WORDS = r"call|phone|tel|telephone|telefon[^\W_]*|téléphone|teléfono|telefono|telefone|telefoon[^\W_]*|mobile|mobil|móvil|cell|handy|portable|text me|sms|whatsapp|ring|fax|(?:new|phone|mobile|cell|neue|nuevo|nouveau|novo|nuovo|nieuwe?|mobil[^\W_]*) (?:number|nummer|numéro|número|numero)|(?:número|numero|numéro) (?:nuevo|nouveau|novo|nuovo)|anrufen|erreich[^\W_]*|appel[^\W_]*|llam[^\W_]*|chiam[^\W_]*|ligue|ligar|bel|reach me|dial"
+_NAME_WORDS = r"form says|name|badge|card of|addressed to|label|signed|contact|kontakt|contacto|met|ask|fragt|pregunta|booked under|talk by|thanks to|belongs to|reading|dear|mr|mrs|ms|dr|herr|frau|madame|monsieur|señora?|sr|sra|deliver[^\W_]*|for|by"
 
 
 def _near(words: str) -> re.Pattern:
@@ -61,12 +65,16 @@ def _near(words: str) -> re.Pattern:
 
 IS_ID, IS_OTHER, IS_PHONE, IS_NAME = map(_near, (_ID_WORDS, _OTHER_NUMBERS, _PHONE_WORDS, _NAME_WORDS))
 
-_DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|punkt|punto|point)\s?[)\]}]\s?)"
+#: Every pattern takes time in proportion to the text: repetitions have one way to match or are possessive, and a run of characters
+#: is entered at its start only. A local part has at most eight spelled-out dots.
+_SPELLED = r"\s?[(\[{]\s?(?:dot|punkt|punto|point)\s?[)\]}]\s?"
+_DOT = rf"(?:\.|{_SPELLED})"
+_LABEL = r"(?>[^\W_]+(?:[_-]+[^\W_]+)*)"
 EMAIL = re.compile(
-    rf"(?<![\w@.+-])[\w+%-](?:[\w.+%-]|{_DOT}(?=\w))*(?:\s?@\s?|\s?[(\[{{]\s?(?:at|arroba|ät|chez)\s?[)\]}}]\s?)[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)+"
-    rf"|(?<![\w@.+-])[\w+%-][\w.+%-]*\s(?:at|AT)\s[\w-]+(?:\s(?:dot|DOT)\s[\w-]+)+",
+    rf"(?<![\w@.+%-])[\w+%-][\w.+%-]*+(?:{_SPELLED}(?=\w)[\w.+%-]++){{0,8}}(?:\s?@\s?|\s?[(\[{{]\s?(?:at|arroba|ät|chez)\s?[)\]}}]\s?){_LABEL}(?:{_DOT}{_LABEL})+"
+    rf"|(?<![\w@.+%-])[\w+%-][\w.+%-]*+\s(?:at|AT)\s[\w-]++(?:\s(?:dot|DOT)\s[\w-]++)+",
 )
-NUMBER = re.compile(r"(?<![\w.,/+-])(?:\+|\(\+?)?\d(?:[\d]|[ \t.\-/()]{1,3}(?=[\d(]))*\d(?![\w]|[.,]\d|-\d)")
+NUMBER = re.compile(r"(?<![\w.,/+-])(?:\+|\(\+?)?\d+(?:[ \t.\-/()]{1,4}\d+)*(?![\w]|[.,]\d|-\d)")
 NANP = re.compile(r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}")
 SSN = re.compile(r"(?<![\w.-])\d{3}([- ])\d{2}\1\d{4}(?![\w-])")
 NI = re.compile(r"(?<!\w)[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-D](?!\w)", re.IGNORECASE)
@@ -74,7 +82,7 @@ SPANISH = re.compile(r"(?<!\w)(?:[XYZ][ -]?\d{7}|\d{8})[ -]?[A-Z](?!\w)", re.IGN
 ITALIAN = re.compile(r"(?<!\w)[A-Z]{6}\d{2}[A-EHLMPRST]\d{2}[A-Z]\d{3}[A-Z](?!\w)", re.IGNORECASE)
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
 AFTER_ID = re.compile(
-    rf"(?<![^\W_])(?:{_ID_WORDS})(?![^\W_])[\s-]*(?:(?:number|nummer|numéro|número|numero|card|núm|num|no|nr|n)(?![^\W_])\s*)?[.°º:#]{{0,2}}\s*(?:(?:is|ist|est|es|è|é|lautet)\s+:?\s*)?((?:[A-Z]{{1,4}}[ -]?)?\d(?:[A-Z\d]|[ ./-]{{1,2}}(?=[A-Z]?\d)|[ -](?=[A-Z](?![^\W_]))){{3,24}})(?![^\W_])",
+    rf"(?<![^\W_])(?:{_ID_WORDS})(?![^\W_])[\s-]*+(?:(?:number|nummer|numéro|número|numero|card|núm|num|no|nr|n)(?![^\W_])\s*+)?[.°º:#]{{0,2}}+\s*+(?:(?:is|ist|est|es|è|é|lautet)\s++:?\s*+)?((?:[A-Z]{{1,4}}[ -]?)?\d(?:[A-Z\d]|[ ./-]{{1,2}}(?=[A-Z]?\d)|[ -](?=[A-Z](?![^\W_]))){{3,24}})(?![^\W_])",
     re.IGNORECASE,
 )
 _UP, _ANY = "[A-ZÀ-ÖØ-Þ]", r"[\w'’.-]"
@@ -82,13 +90,24 @@ _UNIT = r"(?!(?:minutes?|min|hours?|days?|seconds?|people|miles?|km|files?|times
 ADDRESSES = [
     re.compile(rf"(?<![\w/.-])\d{{1,5}}[A-Za-z]?,? (?:{_UNIT}{_UP}{_ANY}* ){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Court|Ct|Close|Way|Place|Pl|Boulevard|Blvd|Square|Sq|Terrace|Crescent|Row|Mews|Parkway|Pkwy|Highway|Hwy|Alley|Walk|Grove|Gardens|STREET|ST|AVENUE|AVE|ROAD|RD|LANE|DRIVE|COURT|CT)\b\.?(?:,? (?:Apt|Flat|Unit|Suite|Apartment)\.? ?\w{{1,4}}\b)?"),
     re.compile(rf"(?<![\w/.-])\d{{1,5}}[a-z]?,? (?:{_UNIT}[\w'’-]+ ){{1,2}}(?:street|avenue|ave|road|rd|lane|court|boulevard|blvd)\b\.?(?=\s*(?:,|$|\n))", re.IGNORECASE),
-    re.compile(r"(?<!\w)[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.?|STRASSE|STR\.?|gasse|allee|platz|weg|ufer|damm|chaussee)[ ,]{1,2}\d{1,4}(?: ?[a-zA-Z])?\b"),
     re.compile(r"(?<!\w)(?:[A-ZÄÖÜ][\wäöüß]+e[rs]? |Am |An der |Im |Zum |Zur )(?:Straße|Strasse|Str\.|Weg|Platz|Allee|Gasse|Ring|Ufer|Damm)[ ,]{1,2}\d{1,4}(?: ?[a-z])?\b"),
     re.compile(r"(?<!\w)[a-zäöü]{3,}(?:straße|strasse|str\.) \d{1,4} ?[a-z]?\b"),
     re.compile(rf"(?<![\w/.-])\d{{1,4}}(?: ?(?:bis|ter|quater|[A-D]))?,? (?i:rue|avenue|av\.|boulevard|bd|chemin|place|impasse|allée|allee|route|quai|cours|square|passage|sentier)(?: (?i:de la|de l['’]|du|des|de|d['’]|la|le|les))? ?{_UP}{_ANY}*(?:[ -]{_UP}[\w'’-]+)*"),
     re.compile(rf"(?<![^\W_])(?:(?i:calle|avenida|avda\.?|plaza|paseo|camino|carretera|ronda|travesía|rua|travessa|largo|praça|estrada|alameda|via|viale|piazza|corso|vicolo|strada|vía)|C/|Av\.|AV\.|R\.|V\.le|P\.za|Ctra\.) ?(?:(?i:de|del|della|delle|dei|di|da|do|das|dos|la|las|los|el|lo|dal|dell['’]) ?){{0,3}}{_UP}[\w'’-]+(?: (?:(?:de|del|di|da|do|dos|y|e|la) )?{_UP}[\w'’-]+){{0,3}},? (?:(?:n|nº|n\.º|n\.|n°|núm|num|número|nr|no)\.? ?)?\d{{1,4}}(?: ?(?:bis|[A-Za-z]))?\b"),
-    re.compile(r"(?<!\w)[A-Z][\w'’-]*(?:straat|laan|plein|gracht|kade|dijk|steeg|singel|STRAAT|LAAN|WEG)[ ,]{1,2}\d{1,4}(?:[ -]?[a-zA-Z])?\b"),
 ]
+
+
+def _ending(ends: str, number: str) -> re.Pattern:
+    """A whole run of word characters with one of the ends, and a house number. The run is read once."""
+    behind = "|".join(f"(?<={e})" for e in ends.split())
+    return re.compile(rf"(?<![\w'’-])[\w'’-]++(?:{behind}){number}")
+
+
+_COMPOUND = [
+    _ending("straße strasse str STRASSE STR gasse allee platz weg ufer damm chaussee", r"(?:(?<=str)\.|(?<=STR)\.)?[ ,]{1,2}\d{1,4}(?: ?[a-zA-Z])?\b"),
+    _ending("straat laan plein gracht kade dijk steeg singel STRAAT LAAN WEG", r"[ ,]{1,2}\d{1,4}(?:[ -]?[a-zA-Z])?\b"),
+]
+_CAPITAL = re.compile(r"(?<!\w)[A-ZÄÖÜ]")
 # Words and word ends that make an address worth looking for.
 _STREET_WORDS = frozenset(
     "st street ave avenue rd road ln lane dr drive ct court close way pl place blvd boulevard sq square terrace crescent row mews pkwy parkway hwy highway alley walk grove gardens "
@@ -112,12 +131,12 @@ def _given() -> tuple[frozenset[str], re.Pattern, re.Pattern, re.Pattern]:
     plain = ["".join(c for c in unicodedata.normalize("NFD", n) if not unicodedata.combining(c)) for n in names]
     every = sorted({*names, *plain}, key=lambda n: (-len(n), n))
     given = rf"(?:{'|'.join(every)})"
-    family = rf"(?:(?:van der|van den|van de|van|von der|von|zu|de la|de los|del|della|di|da|dos|das|do|de|du|le|la|ter|ten|af|O['’]|Mc|Mac)[ ]?)?{_UP}[\w'’]*[a-zà-ÿ][\w'’]*(?:-{_UP}[\w'’]+)*"
+    family = rf"(?:(?:van der|van den|van de|van|von der|von|zu|de la|de los|del|della|di|da|dos|das|do|de|du|le|la|ter|ten|af|O['’]|Mc|Mac)[ ]?)?{_UP}(?=[\w'’]*[a-zà-ÿ])[\w'’]++(?:-{_UP}[\w'’]++)*+"
     middle = rf"(?:(?:{_UP}\.|{given}) ){{0,2}}"
     title = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Sr|Sra|Mme|M)\.? ){0,2}"
-    straight = re.compile(rf"(?<![\w@#/.-])({title})({given}(?:-{given})?) {middle}({family})(?![\w@])")
-    reverse = re.compile(rf"(?<![\w@#/.-])({family}), ({given}(?:-{given})?)(?: {_UP}\.)?(?![\w@])")
-    small = re.compile(rf"(?<![\w@#/.-])({given}) (?:[a-z]\.? )?([^\W\d_]{{3,}}(?:-[^\W\d_]+)?)(?![\w@])", re.IGNORECASE)
+    straight = re.compile(rf"(?<![\w@#/.-])(?=[^\W\d_])({title})({given}(?:-{given})?) {middle}({family})(?![\w@])")
+    reverse = re.compile(rf"(?<![\w@#/.-])(?=[^\W\d_])({family}), ({given}(?:-{given})?)(?: {_UP}\.)?(?![\w@])")
+    small = re.compile(rf"(?<![\w@#/.-])(?=[^\W\d_])({given}) (?:[a-z]\.? )?([^\W\d_]{{3,}}+(?:-[^\W\d_]++)?+)(?![\w@])", re.IGNORECASE)
     return frozenset({*every, *(n.lower() for n in every), *(n.upper() for n in every)}), straight, reverse, small
 
 
@@ -128,17 +147,12 @@ _SMALL = frozenset("and the is was has had said says in on at of for with from t
 
 @lru_cache(maxsize=1)
 def _common_words() -> frozenset[str]:
-    """Words that are single pieces of the public vocabularies: no family names as a rule. Empty without the files."""
-    import base64
-    import os
-
+    """Words that are single pieces of the public vocabularies: no family names as a rule."""
     words: set[str] = set()
     for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
-        path = os.path.join(VOCABULARIES, name)
-        if os.path.exists(path):
-            with open(path, "rb") as f:
-                pieces = (base64.b64decode(line.split()[0]).decode("utf-8", "ignore") for line in f)
-                words.update(p[1:].lower() for p in pieces if len(p) > 3 and p[0] == " " and p[1:].isalpha())
+        with open(os.path.join(VOCABULARIES, name), "rb") as f:
+            pieces = (base64.b64decode(line.split()[0]).decode("utf-8", "ignore") for line in f)
+            words.update(p[1:].lower() for p in pieces if len(p) > 3 and p[0] == " " and p[1:].isalpha())
     return frozenset(words)
 
 
@@ -236,6 +250,10 @@ def _addresses(text: str) -> Iterator[Finding]:
     for pattern in ADDRESSES:
         for m in pattern.finditer(text):
             yield Finding("address", m.start(), m.end(), 0.8)
+    for pattern in _COMPOUND:
+        for m in pattern.finditer(text):
+            if first := _CAPITAL.search(text, m.start(), m.end()):
+                yield Finding("address", first.start(), m.end(), 0.8)
 
 
 def _names(text: str) -> Iterator[Finding]:
@@ -279,6 +297,9 @@ def visible(text: str) -> tuple[str, list[int] | None]:
     """(consistent form, for each of its characters the position in the text); None if nothing changes."""
     if text.isascii():
         return text, None
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not tables()["changes"][points[points > 127]].any():
+        return text, None
     out: list[str] = []
     at: list[int] = []
     for i, ch in enumerate(text):
@@ -310,11 +331,11 @@ def find(text: str | None) -> list[Finding]:
     if not _given()[0].isdisjoint(words):
         found += _names(seen)
     found = sorted((f for f in found if f.score >= LEAST_SCORE), key=lambda f: (-f.score, f.start - f.end, f.start))
-    kept: list[Finding] = []
+    kept: list[Finding] = []  # in order of their places
     for f in found:
-        if all(f.end <= k.start or f.start >= k.end for k in kept):
-            kept.append(f)
-    kept.sort(key=lambda f: f.start)
+        i = bisect_left(kept, f.end, key=lambda k: k.start)  # those before i begin before f ends
+        if not i or kept[i - 1].end <= f.start:
+            kept.insert(i, f)
     if at is None:
         return kept
     ends = [*at, len(text)]

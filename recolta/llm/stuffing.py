@@ -51,7 +51,7 @@ MOST_BROADCAST = 500_000
 #: mean log(different words) of a stretch = intercept + slope * log(its words), where fewer than LEAST_DOCUMENTS documents are there to fit it.
 FALLBACK_GROWTH, LEAST_DOCUMENTS = (0.36, 0.87), 200
 
-LINK = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|www\.\S+|(?<!\w)[#@]\w+")
+LINK = re.compile(r"\[[^\[\]\n]*\]\([^()\n]*\)|https?://\S+|www\.\S+|(?<!\w)[#@]\w+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _DOCUMENT = "words int, log_words double, log_types double, top double, link_share double, pairs int"

@@ -122,11 +122,12 @@ def _compose(points: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> t
     rank = t["rank"][points]
     mark = rank > 0
     if mark.any():
-        base = np.maximum.accumulate(np.where(mark, -1, np.arange(len(points))))  # of each position; -1 before the first
-        order = np.lexsort((np.arange(len(points)), rank, np.where(mark, base + 1, np.arange(len(points)) + 1)))
+        # a base with its marks is one group; marks at the start of a text are a group of their own, whatever stood before
+        group = np.cumsum(~mark | np.append(True, row[1:] != row[:-1]))
+        order = np.lexsort((np.arange(len(points)), rank, group))
         points, rank, row = points[order], rank[order], row[order]
         mark = rank > 0
-        base = np.maximum.accumulate(np.where(mark, -1, np.arange(len(points))))
+        base = np.maximum.accumulate(np.where(mark, -1, np.arange(len(points))))  # of each position; -1 before the first
         own = mark & (base >= 0) & (row == row[np.maximum(base, 0)])  # a mark at the start of a text has no base
         at = np.flatnonzero(own)
         nth, points, keep = at - base[at], points.copy(), np.ones(len(points), bool)
@@ -239,7 +240,7 @@ def lookalike_pairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     rarer = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("value_a") < F.col("value_b")))
     pairs = _salted(a, b, ["field", "form"], "v", heavy).drop("key").filter(rarer)
     named = ["field", "form", "value"]
-    mine = join_unique(rows, mixed.select(*named, "n"), named, mixed.select(*named, F.col("n").alias("_n")), F.col("key"), least=heavy)
+    mine = materialize(join_unique(rows, mixed.select(*named, "n"), named, mixed.select(*named, F.col("n").alias("_n")), F.col("key"), least=heavy), "visual-rows")
     one = _salted(pairs.withColumn("n", F.col("n_a")).withColumnRenamed("value_a", "value"), mine, named, "n", heavy)
     one = one.select("field", "form", F.col("value_b").alias("value"), F.col("n_b").alias("n"), F.col("key").alias("key_a"))
     two = _salted(one, mine, named, "n", heavy)

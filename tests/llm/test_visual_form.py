@@ -15,7 +15,7 @@ def test_same_and_apart():
     assert all(len(set(fold(pa.array(p)).to_pylist())) == 2 for p in APART)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=2000, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aeoAqz \ņ̣́̇éёＡ​①²한𝒳🔥‍")), st.text()), max_size=8))
 def test_stable_and_composed(texts):
     once = fold(pa.array(texts, pa.string())).to_pylist()
@@ -42,3 +42,16 @@ def test_pairs_equal_brute_force(spark):
     got = [tuple(r) for r in lookalike_pairs(df, "id", ["text_content", "author"]).collect()]
     assert set(got) == want and len(got) == len(want) >= 6
     assert lookalike_pairs(df.limit(0), "id", ["text_content", "author"]).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aA ȩ̣́​еＡﬁ각")), max_size=8), st.integers(0, 8))
+def test_any_split_of_a_batch_gives_the_same(texts, at):
+    parts = [fold(pa.array(x, pa.string())).to_pylist() for x in (texts[:at], texts[at:])]
+    assert parts[0] + parts[1] == fold(pa.array(texts, pa.string())).to_pylist()
+
+
+def test_marks_at_the_start_of_a_row_stay_in_it():
+    assert fold(pa.array(["́", "̣"])).to_pylist() == ["́", "̣"]
+    assert fold(pa.array(["​", "́", "̧q"])).to_pylist() == ["", "́", "̧q"]
+    assert fold(pa.array(["̣́a"])).to_pylist() == ["̣́a"]
