@@ -1,231 +1,228 @@
 """Keyword-stuffed, link-list and navigation pages (problem 10).
 
-Over the whole corpus, words and pairs of neighbouring words are counted by document. A pair's
-pointwise mutual information says how well its words belong together in *other* documents; a
-document's mean over its pairs measures coherence: word salad around a keyword lies low, and the
-same few collocations over and over lie high. Far enough below the documents of its length mean PMI decides
-alone, and so does far above them the share of repeated pairs. How many different words a text of its length has is
-held against the growth of the vocabulary with length, fitted on the corpus itself, over stretches of
-STRETCH words so that long texts compare with short ones: keyword pages repeat far more than prose. A page of which links, tags and handles are the greater part is a
-link list.
-
-Sentences or lines of six words or more count once in a document, so refrains, quotes and repeated
-paragraphs are no repetition. Numbers and punctuation are no words, so numbered lists aren't either.
-
-Pairs are counted with partial aggregation. The most frequent ones, as many as fit the broadcast
-bound, are looked up by broadcast, which is exact and leaves documents where they are; only rarer
-pairs are shuffled to their counts, and none of those can be skewed.
-
-Defined cases: null, empty and blank texts are no cases; texts with few words are cases only as link
-lists; repeated documents get equal results; a corpus too small to fit growth uses FALLBACK_GROWTH;
+Words and pairs of neighbouring words are counted by document over the whole corpus. A pair's
+pointwise mutual information (PMI) says how well its words belong together in *other* documents. Two
+statistics in nats decide about a document, each by itself:
+
+- `pmi`, the mean over its pairs. Word salad around a keyword lies far below zero: its neighbours
+  stand together less often than by chance.
+- `excess`, the PMI, whatever its sign, of repetitions beyond what prose has, per pair: in every
+  stretch of STRETCH pairs, occurrences of a pair beyond ALLOWED count with the absolute PMI of the
+  pair. The small words that prose repeats have a PMI near zero and count little; the collocations of
+  a keyword list, a breadcrumb trail or a product table count fully.
+
+A link, tag or handle is a word of its kind, repeated once per LINK_UNIT characters, and lines of
+nothing else run on; so a link list is one collocation over and over, and links after prose are few
+among its pairs.
+
+Sentences or lines of LONG_LINE words or more count once in a document, so refrains, quotes and repeated
+paragraphs are no repetition, unless the line holds a link or most of a document is that line
+REFRAINS times. Numbers and punctuation are no words, so numbered lists aren't either.
+
+Python reads the texts once and writes compact arrays (different words as hashes, pairs as positions in
+them, counts). The most frequent words and pairs, as many as fit the broadcast bound, are looked up
+by broadcast, which is exact and leaves documents where they are; only rarer ones are shuffled to
+their counts, and none of those can be skewed.
+
+Defined cases: null, empty and blank texts and texts without two neighbouring words are no cases; mean
+PMI decides from LEAST_PAIRS pairs; repeated documents get equal results; an empty table gives no rows;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from recolta.session import materialize
 
-#: Share of characters in links and tags from which a page is a link list.
-LINK_SHARE = 0.5
-#: Excess repetition from which a page is stuffed, and what mean PMI above COHERENT adds to it.
-REPETITION, COHERENT, PMI_WEIGHT = 0.65, 2.3, 0.35
-#: A text with LEAST_WORDS words of which one has KEYWORD_SHARE, which is incoherent or repetitive, is salad.
-KEYWORD_SHARE, LEAST_WORDS, SALAD_REPETITION = 0.2, 25, 0.42
-#: So is a text of which one word has INCOHERENT_SHARE and whose mean PMI is at most INCOHERENT.
-INCOHERENT_SHARE, INCOHERENT = 0.35, 0.0
-#: How many times as far from the median as the outer twentieth of documents mean PMI or repeated collocations decide alone.
-SPREADS = 5.0
-#: Words of the stretches in which different words are counted.
-STRETCH = 200
-#: Pairs that are broadcast at most.
+#: Mean PMI below which neighbouring words don't belong together, and the fewest pairs for that.
+INCOHERENT, LEAST_PAIRS = -0.6, 25
+#: PMI of excessive repetitions per pair from which a page is stuffed.
+EXCESS = 0.5
+#: Pairs of a stretch in which repetitions are counted, and the occurrences that are no excess.
+STRETCH, ALLOWED = 200, 2
+#: Characters of a link for which it counts as one word.
+LINK_UNIT = 12
+#: Words from which a sentence or line counts once, and how often a line that is most of a document makes it no refrain.
+LONG_LINE, REFRAINS = 6, 20
+#: Words or pairs that are broadcast at most.
 MOST_BROADCAST = 500_000
-#: mean log(different words) of a stretch = intercept + slope * log(its words), where fewer than LEAST_DOCUMENTS documents are there to fit it.
-FALLBACK_GROWTH, LEAST_DOCUMENTS = (0.36, 0.87), 200
+#: Words whose hashes a worker keeps.
+CACHED_WORDS = 500_000
 
 LINK = re.compile(r"\[[^\[\]\n]*\]\([^()\n]*\)|https?://\S+|www\.\S+|(?<!\w)[#@]\w+")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
-_DOCUMENT = "words int, log_words double, log_types double, top double, link_share double, pairs int"
-
-
-def document_words(text: str) -> tuple[list[list[str]], float]:
-    """(words of each sentence or line, share of characters in links and tags). Long ones count once."""
-    spans = [m.span() for m in LINK.finditer(text)]
-    total = len("".join(text.split()))
-    linked = sum(len("".join(text[a:b].split())) for a, b in spans)
-    plain = LINK.sub(" ", text) if spans else text
-    out: list[list[str]] = []
-    seen: set[tuple[str, ...]] = set()
-    for s in _SENTENCE.split(plain.lower()):
-        words = _WORD.findall(s)
-        if len(words) >= 6:
-            key = tuple(words)
-            if key in seen:
-                continue
-            seen.add(key)
-        if words:
-            out.append(words)
-    return out, linked / max(1, total)
-
-
-def _stretches(words: list[int]) -> tuple[float, float]:
-    """Means of log(words) and log(different words) over equal stretches of at most STRETCH words."""
-    if not words:
-        return 0.0, 0.0
-    parts = -(-len(words) // STRETCH)
-    cuts = [len(words) * i // parts for i in range(parts + 1)]
-    sizes = [(b - a, len(set(words[a:b]))) for a, b in zip(cuts, cuts[1:])]
-    return sum(math.log(n) for n, _ in sizes) / parts, sum(math.log(t) for _, t in sizes) / parts
-
-
-def _features(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h, words, log_words, log_types, top, link_share, pairs, pair, first, second, times): each document with its
-    different pairs as arrays of hashes. h tells apart documents of the same key."""
+_TOKEN = re.compile(rf"{LINK.pattern}|[^\W\d_]+(?:['’-][^\W\d_]+)*|(?<=[.!?…])\s+|\n")
+_STOP, _TAG, _LINK = 0, 1, 2
+
+
+class _Numbers(dict):
+    """Hash of each token: 0 for the end of a sentence, small numbers for links (length * 4 + kind), else a hash."""
+
+    def __missing__(self, token: str) -> int:
+        first = token[0]
+        if first.isspace():
+            made = _STOP
+        elif first in "#@":
+            made = max(1, len(token) // LINK_UNIT) * 4 + _TAG
+        elif not first.isalpha() or token.startswith(("http:", "https:", "www.")):
+            made = max(1, len(token) // LINK_UNIT) * 4 + _LINK
+        else:
+            made = xxhash.xxh64_intdigest(token) | 1 << 63
+        self[token] = made
+        return made
+
+
+def tokens(texts: list[str], numbers: _Numbers | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, line) of the words of the texts, after repeated long lines are left out."""
+    numbers = _Numbers() if numbers is None else numbers
+    lists = [list(map(numbers.__getitem__, _TOKEN.findall(t.lower()))) for t in texts]
+    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    h = np.array([x for own in lists for x in own], np.uint64)
+    link = (h >> np.uint64(63) == 0) & (h > 0)
+    start = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
+    line = np.cumsum(start | (h == _STOP))
+    real = h > 0
+    h, doc, line, link = h[real], doc[real], line[real], link[real]
+    if not len(h):
+        return h, doc, line
+    # a line of links only goes on with the next one
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    sizes = np.diff(np.append(first, len(h)))
+    linked = np.add.reduceat(link.astype(np.int64), first)
+    only, owner = linked == sizes, doc[first]
+    goes_on = np.append(False, only[1:] & only[:-1] & (owner[1:] == owner[:-1]))
+    # hash of each line, to find long ones that stood there before
+    place = np.arange(len(h)) - np.repeat(first, sizes)
+    power = np.multiply.accumulate(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    content = np.add.reduceat(h * power[place], first)
+    order = np.lexsort((np.arange(len(first)), content, owner))
+    same = np.append(False, (content[order][1:] == content[order][:-1]) & (owner[order][1:] == owner[order][:-1]))
+    group = np.cumsum(~same)
+    times = np.bincount(group)[group]
+    again, often = np.zeros(len(first), bool), np.zeros(len(first), np.int64)
+    again[order], often[order] = same, times
+    total = np.bincount(owner, sizes, len(lists))
+    refrain = (sizes >= LONG_LINE) & (linked == 0) & ~((often >= REFRAINS) & (2 * often * sizes > total[owner]))
+    kept = np.repeat(~(again & refrain), sizes)
+    number = np.repeat(np.cumsum(~goes_on), sizes)[kept]
+    h, doc = h[kept], doc[kept]
+    short = h >> np.uint64(63) == 0
+    count = np.where(short, h >> np.uint64(2), 1).astype(np.int64)
+    return np.repeat(np.where(short, h & np.uint64(3), h), count), np.repeat(doc, count), np.repeat(number, count)
+
+
+def _arrays(texts: list[str], numbers: _Numbers) -> list[pa.Array]:
+    """For each text: its different words, and of its different pairs the positions of both words among them, how
+    often each occurs, and how often beyond ALLOWED in a stretch."""
+    h, doc, line = tokens(texts, numbers)
+    n = len(texts)
+    order = np.lexsort((h, doc))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])) if len(h) else np.zeros(0, bool)
+    at = order[new]
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    word_bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=n))])
+    index = (rank - word_bounds[doc]).astype(np.int32)
+    near = line[:-1] == line[1:] if len(h) else np.zeros(0, bool)
+    near &= doc[:-1] == doc[1:]
+    a, b, own = index[:-1][near], index[1:][near], doc[:-1][near]
+    pairs = np.bincount(own, minlength=n)
+    place = np.arange(len(own)) - (np.cumsum(pairs) - pairs)[own]
+    parts = np.maximum(1, -(-pairs // STRETCH))[own]
+    stretch = place * parts // np.maximum(1, pairs[own])
+    order = np.lexsort((stretch, b, a, own))
+    a, b, own, stretch = a[order], b[order], own[order], stretch[order]
+    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (own[1:] != own[:-1])) if len(a) else np.zeros(0, bool)
+    part = fresh | np.append(True, stretch[1:] != stretch[:-1]) if len(a) else fresh
+    first, cut = np.flatnonzero(fresh), np.flatnonzero(part)
+    over = np.maximum(0, np.diff(np.append(cut, len(a))) - ALLOWED)
+    pair_of = (np.cumsum(fresh) - 1)[cut]
+    beyond = np.bincount(pair_of, over, len(first)).astype(np.int32)
+    times = np.diff(np.append(first, len(a))).astype(np.int32)
+    pair_bounds = np.concatenate([[0], np.cumsum(np.bincount(own[first], minlength=n))]).astype(np.int32)
+    lists = lambda bounds, x: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x))
+    return [lists(word_bounds, h[at].view(np.int64)), *[lists(pair_bounds, x) for x in (a[first], b[first], times, beyond)]]
+
+
+def document_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h, word, first, second, times, beyond): each document with its different words as hashes and its
+    different pairs as positions in them. h tells apart documents of the same key."""
     kind = dict(df.dtypes)[key]
-    ids: dict[str, int] = {}
-    names = [key, "h", "words", "log_words", "log_types", "top", "link_share", "pairs", "pair", "first", "second", "times"]
+    names = [key, "h", "word", "first", "second", "times", "beyond"]
+    numbers = _Numbers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats: list[tuple] = []
-            flat: list[int] = []
-            sentence: list[int] = []
-            owner: list[int] = []
-            part = 0
-            if len(ids) > 500_000:
-                ids.clear()
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                sentences, share = document_words(t)
-                own: dict[int, int] = {}
-                n = 0
-                for words in sentences:
-                    part += 1
-                    for w in words:
-                        h = ids.get(w)
-                        if h is None:
-                            ids[w] = h = xxhash.xxh64_intdigest(w)
-                        flat.append(h), sentence.append(part), owner.append(i)
-                        own[h] = own.get(h, 0) + 1
-                    n += len(words)
-                stats.append((n, *_stretches(flat[len(flat) - n :]), max(own.values(), default=0) / max(1, n), share))
-            w, s, o = np.array(flat, np.uint64), np.array(sentence, np.int64), np.array(owner, np.int64)
-            near = s[:-1] == s[1:] if len(s) else np.zeros(0, bool)
-            a, b, doc = w[:-1][near], w[1:][near], o[:-1][near]
-            p = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
-            order = np.lexsort((p, doc))
-            p, a, b, doc = p[order], a[order], b[order], doc[order]
-            new = np.ones(len(p), bool)
-            new[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(p))).astype(np.int32)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(batch)))]).astype(np.int32))
-            longs = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64)))
-            pairs = np.bincount(doc, minlength=len(batch)).astype(np.int32)
-            columns = [pa.array([x[j] for x in stats], kind) for j, kind in enumerate((pa.int32(), *[pa.float64()] * 4))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array(pairs), longs(p[at]), longs(a[at]), longs(b[at]), pa.ListArray.from_arrays(offsets, pa.array(times))], names)
+            if len(numbers) > CACHED_WORDS:
+                numbers.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *_arrays(batch.column(1).to_pylist(), numbers)], names)
 
     t = F.col(text).cast("string")
     source = df.filter(F.trim(t) != "").select(key, t.alias("_t"), F.xxhash64(t).alias("h"))
-    return source.mapInArrow(run, f"{key} {kind}, h long, {_DOCUMENT}, pair array<long>, first array<long>, second array<long>, times array<int>")
+    return source.mapInArrow(run, f"{key} {kind}, h long, word array<long>, first array<int>, second array<int>, times array<int>, beyond array<int>")
 
 
-def pair_information(docs: DataFrame, total: int) -> DataFrame:
+def _looked_up(facts: DataFrame, on: str, counts: DataFrame, n: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """facts JOIN counts ON `on`, in two parts: the most frequent keys (at most `most`, by their count `n`) by
+    broadcast, the others by a shuffle join in which no key is heavy."""
+    sizes = counts.groupBy(F.floor(F.log2(n)).cast("int").alias("k")).count().orderBy(F.desc("k")).collect()  # at most 63 rows
+    least, taken = 62, 0
+    for r in sizes:
+        if taken + r["count"] > most:
+            break
+        least, taken = r.k, taken + r["count"]
+    often = F.col(n) >= F.lit(2**least)
+    marked = facts.join(F.broadcast(counts.filter(often).withColumn("_often", F.lit(True))), on, "left")
+    found = marked.filter("_often").drop("_often")
+    rest = marked.filter("_often IS NULL").select(*facts.columns).join(counts.filter(~often), on)
+    return found, rest.select(*found.columns)
+
+
+def pair_information(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(pair, n, pmi): for each pair the documents with it, and its mutual information in the documents
     other than one that holds it, smoothed by half a document."""
-    # words and pairs are counted in one pass over the documents; a word stands as its own pair, without parts
-    pair = F.transform(F.arrays_zip("pair", "first", "second"), lambda x: F.struct(F.lit(True).alias("is_pair"), x["pair"].alias("h"), x["first"].alias("first"), x["second"].alias("second")))
-    word = F.transform(F.array_distinct(F.concat("first", "second")), lambda x: F.struct(F.lit(False).alias("is_pair"), x.alias("h"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second")))
-    each = docs.select(F.explode(F.concat(pair, word)).alias("x")).select("x.*")
-    counts = materialize(each.groupBy("is_pair", "h").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.min("second").alias("second")), "pair-counts")
-    pairs = counts.filter("is_pair").select(F.col("h").alias("pair"), "n", "first", "second")
-    words = counts.filter("not is_pair").select(F.col("h").alias("word"), F.col("n").alias("c"))
-    known = pairs.join(words.select(F.col("word").alias("first"), F.col("c").alias("c1")), "first").join(words.select(F.col("word").alias("second"), F.col("c").alias("c2")), "second")
-    expected = (F.col("c1") - 1) * (F.col("c2") - 1) / F.lit(total)
-    return known.select("pair", "n", F.log((F.col("n") - 0.5) / (expected + 0.5)).alias("pmi"))
+    total = max(1, docs.count())
+    words = materialize(docs.select(F.explode("word").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")), "word-counts")
+    pairs = _pairs(docs).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("b").alias("b"))
+    for side in ("a", "b"):
+        one, two = _looked_up(pairs, side, words.select(F.col("w").alias(side), F.col("c").alias(f"c{side}")), f"c{side}", most_broadcast)
+        pairs = materialize(one.unionByName(two), f"pairs-{side}")
+    expected = (F.col("ca") - 1) * (F.col("cb") - 1) / F.lit(total)
+    return pairs.select("pair", "n", F.log((F.col("n") - 0.5) / (expected + 0.5)).alias("pmi"))
+
+
+def _pairs(docs: DataFrame, *own: str) -> DataFrame:
+    """(own columns, pair, a, b, times, beyond): one row per different pair of each document."""
+    each = docs.select(*own, "word", F.explode(F.arrays_zip("first", "second", "times", "beyond")).alias("x"))
+    a, b = F.get("word", F.col("x.first")), F.get("word", F.col("x.second"))
+    return each.select(*own, F.xxhash64(a, b).alias("pair"), a.alias("a"), b.alias("b"), "x.times", "x.beyond")
 
 
 def coherence(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(key, h, words, log_words, log_types, top, link_share, pairs, collocations, pmi) of every document with a text; pmi is
-    the mean over its pairs of neighbours, null without pairs, and collocations the share of pairs that stood there before."""
-    docs = _features(df, key, text)
-    known = materialize(pair_information(docs, max(1, df.filter(F.trim(F.col(text).cast("string")) != "").count())), "pairs")
-    # the fewest documents of a broadcast pair, so that at most most_broadcast pairs are
-    sizes = known.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().orderBy(F.desc("k")).collect()  # at most 63 rows
-    least, taken = 62, 0
-    for r in sizes:
-        if taken + r["count"] > most_broadcast:
-            break
-        least, taken = r.k, taken + r["count"]
-    frequent = known.filter(F.col("n") >= 2**least).select("pair", "pmi")
-    own = [key, "h", "words", "log_words", "log_types", "top", "link_share", "pairs", "collocations"]
-    docs = docs.withColumn("collocations", F.when(F.col("pairs") > 0, 1 - F.size("pair") / F.col("pairs")).otherwise(0.0))
-    each = docs.select(*own, F.explode_outer(F.arrays_zip("pair", "times")).alias("x")).select(*own, "x.pair", "x.times")
-    looked = each.join(F.broadcast(frequent), "pair", "left")
-    found = looked.filter(F.col("pmi").isNotNull() | F.col("pair").isNull())
-    sums = [F.sum(F.col("pmi") * F.col("times")).alias("s"), F.sum("times").alias("t")]
-    parts = found.groupBy(*own).agg(*sums)
-    if least > 0:
-        rare = known.filter(F.col("n") < 2**least).select("pair", "pmi")
-        rest = looked.filter(F.col("pmi").isNull() & F.col("pair").isNotNull()).drop("pmi").join(rare, "pair").groupBy(*own).agg(*sums)
-        parts = parts.unionByName(rest)
-    return parts.groupBy(*own).agg((F.sum("s") / F.sum("t")).alias("pmi"))
-
-
-def growth(docs: DataFrame, rounds: int = 3) -> tuple[float, float]:
-    """(intercept, slope) of log_types against log_words, refitted without outliers; FALLBACK_GROWTH if too few."""
-    x, y = F.col("log_words"), F.col("log_types")
-    usable = docs.filter(F.col("words") >= 10)
-    line, spread = FALLBACK_GROWTH, math.inf
-    for _ in range(rounds):
-        off = y - (F.lit(line[0]) + F.lit(line[1]) * x)
-        kept = usable if math.isinf(spread) else usable.filter(F.abs(off) < 2 * spread)
-        r = kept.agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a")).first()
-        if r.n < LEAST_DOCUMENTS or r.b is None:
-            return FALLBACK_GROWTH
-        line = (float(r.a), float(r.b))
-        off = y - (F.lit(line[0]) + F.lit(line[1]) * x)
-        spread = float(kept.agg(F.stddev(off).alias("s")).first().s or 0) or 1e-6
-    return line
-
-
-def limits(docs: DataFrame) -> DataFrame:
-    """(length, low_pmi, high_collocations): by floor(log2(words)), what lies SPREADS times as far from the median as the outer
-    twentieth of the documents does. Lengths with fewer than LEAST_DOCUMENTS documents get the PMI limit of all, a corpus
-    with fewer none; pairs recur more in longer texts, so their limit is only that of a length's own documents."""
-    usable = docs.filter((F.col("words") >= LEAST_WORDS) & F.col("pmi").isNotNull())
-    at = lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(1000))
-    far = lambda c, p: at(c, 0.5) + SPREADS * (at(c, p) - at(c, 0.5))
-    made = [F.count(F.lit(1)).alias("n"), far("pmi", 0.05).alias("low_pmi"), far("collocations", 0.95).alias("high_collocations")]
-    every = usable.agg(*made).first()
-    of_all = lambda c: F.lit(every[c] if every.n >= LEAST_DOCUMENTS else None).cast("double")
-    own = F.col("n") >= LEAST_DOCUMENTS
-    by = usable.groupBy(F.floor(F.log2("words")).cast("int").alias("length")).agg(*made)
-    return by.select("length", F.when(own, F.col("low_pmi")).otherwise(of_all("low_pmi")).alias("low_pmi"), F.when(own, F.col("high_collocations")).alias("high_collocations"))
+    """(key, h, pairs, pmi, excess) of every document with two neighbouring words."""
+    docs = materialize(document_pairs(df, key, text), "document-pairs")
+    known = pair_information(docs, most_broadcast)
+    each = _pairs(docs, key, "h").select(key, "h", "pair", "times", "beyond")
+    sums = [F.sum(F.col("pmi") * F.col("times")).alias("s"), F.sum("times").alias("t"), F.sum(F.abs("pmi") * F.col("beyond")).alias("e")]
+    parts = [x.groupBy(key, "h").agg(*sums) for x in _looked_up(each, "pair", known, "n", most_broadcast)]
+    summed = parts[0].unionByName(parts[1]).groupBy(key, "h").agg(*[F.sum(c).alias(c) for c in "ste"])
+    return summed.select(key, "h", F.col("t").alias("pairs"), (F.col("s") / F.col("t")).alias("pmi"), (F.col("e") / F.col("t")).alias("excess"))
+
+
+def decision(pairs: Column, pmi: Column, excess: Column) -> Column:
+    """Whether a document is stuffed."""
+    return (excess >= EXCESS) | (pairs >= LEAST_PAIRS) & (pmi <= INCOHERENT)
 
 
 def judged(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """coherence() with `repetition` (how much fewer different words than texts of this length have, in logs),
-    and `stuffed`."""
-    docs = materialize(coherence(df, key, text, most_broadcast), "coherence")
-    a, b = growth(docs)
-    repetition = F.when(F.col("words") > 0, F.lit(a) + F.lit(b) * F.col("log_words") - F.col("log_types")).otherwise(0.0)
-    pmi, enough = F.coalesce("pmi", F.lit(0.0)), F.col("words") >= LEAST_WORDS
-    repeated = enough & (F.col("repetition") + PMI_WEIGHT * F.greatest(F.lit(0.0), pmi - COHERENT) >= REPETITION)
-    salad = enough & ((F.col("top") >= KEYWORD_SHARE) & (F.col("repetition") >= SALAD_REPETITION) | (F.col("top") >= INCOHERENT_SHARE) & (pmi <= INCOHERENT))
-    # by themselves, against the documents of that length: words that don't belong together, and the same pairs over and over
-    outside = enough & F.coalesce((F.col("pmi") < F.col("low_pmi")) | (F.col("collocations") > F.col("high_collocations")), F.lit(False))
-    known = docs.withColumn("length", F.floor(F.log2("words")).cast("int")).join(F.broadcast(limits(docs)), "length", "left")  # at most 31 rows
-    out = known.withColumn("repetition", repetition).withColumn("stuffed", (F.col("link_share") >= LINK_SHARE) | repeated | salad | outside)
-    return out.drop("length", "low_pmi", "high_collocations")
+    """coherence() with `stuffed`."""
+    return coherence(df, key, text, most_broadcast).withColumn("stuffed", decision(F.col("pairs"), F.col("pmi"), F.col("excess")))
 
 
 def stuffed(df: DataFrame, key: str, text: str) -> DataFrame:

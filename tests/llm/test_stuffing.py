@@ -1,7 +1,11 @@
 import math
+import os
 import random
 from collections import Counter
 
+import pyarrow.parquet as pq
+import pytest
+
 from recolta.llm import stuffing as S
 
 NOUNS = ["garden", "letter", "train", "kitchen", "window", "neighbour", "river", "market", "teacher", "bicycle", "story", "winter", "bridge", "engine", "picture", "village"]
@@ -25,19 +29,68 @@ def corpus():
     return good, bad
 
 
-def test_pmi_equals_brute_force(spark):
-    good, bad = corpus()
-    rows = [(k, t) for k, t in good[:40] + bad[:2]]
-    sentences = {k: S.document_words(t)[0] for k, t in rows}
-    pairs = {k: [(a, b) for s in v for a, b in zip(s, s[1:])] for k, v in sentences.items()}
+def brute_force(rows, information=None):
+    """{key: (pairs, mean PMI, excess)} by plain loops; information replaces the PMI of a pair."""
+    pairs = {}
+    for k, t in rows:
+        h, _, line = S.tokens([t])
+        pairs[k] = [(int(a), int(b)) for a, b, x, y in zip(h, h[1:], line, line[1:]) if x == y]
     c2 = Counter(p for v in pairs.values() for p in set(v))
-    c1 = Counter(w for v in pairs.values() for w in {x for p in v for x in p})
-    value = lambda p: math.log((c2[p] - 0.5) / ((c1[p[0]] - 1) * (c1[p[1]] - 1) / len(rows) + 0.5))
-    want = {k: sum(map(value, v)) / len(v) for k, v in pairs.items() if v}
+    c1 = Counter(w for k, t in rows for w in set(map(int, S.tokens([t])[0])))
+    own = {p: math.log((n - 0.5) / ((c1[p[0]] - 1) * (c1[p[1]] - 1) / len(rows) + 0.5)) for p, n in c2.items()}
+    value = information(own) if information else own
+    out = {}
+    for k, v in pairs.items():
+        parts = -(-len(v) // S.STRETCH)
+        stretches = [Counter(p for i, p in enumerate(v) if i * parts // len(v) == j) for j in range(parts)]
+        excess = sum(max(0, n - S.ALLOWED) * abs(value[p]) for c in stretches for p, n in c.items())
+        if v:
+            out[k] = (len(v), sum(value[p] for p in v) / len(v), excess / len(v))
+    return out
+
+
+def decided(rows, information=None):
+    return {k for k, (n, pmi, excess) in brute_force(rows, information).items() if excess >= S.EXCESS or n >= S.LEAST_PAIRS and pmi <= S.INCOHERENT}
+
+
+def test_statistics_equal_brute_force(spark):
+    good, bad = corpus()
+    rows = [(k, t) for k, t in good[:40] + bad + [(5000, " ".join(prose(random.Random(9), 300)))]]
+    want = brute_force(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for bound in (0, 50, 10**6):
-        got = {r.doc_id: r.pmi for r in S.coherence(df, "doc_id", "text", bound).collect()}
-        assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+        got = {r.doc_id: (r.pairs, r.pmi, r.excess) for r in S.coherence(df, "doc_id", "text", bound).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k]))
+
+
+def test_lines():
+    line = "buy cheap running shoes online best running shoes sale"
+    count = lambda t: len(S.tokens([t])[0])
+    assert count("\n".join([line] * 3)) == 9 and count("\n".join([line] * 300)) == 2700  # a refrain, and a page of one line
+    assert count("One two three. " * 4) == 12 and count("https://a.example/long/path/of/a/page") == 3
+    assert len(set(S.tokens(["#one\n#two\n#three"])[2])) == 1  # lines of links run on
+    assert [len(x) for x in S.tokens([])] == [0, 0, 0]
+
+
+def test_information_decides():
+    """Without mutual information, or with that of other pairs, a tenth of the pages or more is missed or wrongly found."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table(path, columns=["doc_id", "text"]).to_pylist() if r["text"]]
+    found = decided(rows)
+    assert len(found) >= 40
+
+    def shuffled(own):
+        values = list(own.values())
+        random.Random(1).shuffle(values)
+        return dict(zip(own, values))
+
+    for other in (lambda own: dict.fromkeys(own, 0.0), lambda own: dict.fromkeys(own, 1.0), shuffled):
+        instead = decided(rows, other)
+        both = len(found & instead)
+        assert min(both / len(found), both / max(1, len(instead))) <= 0.9
 
 
 def test_found(spark):
@@ -60,5 +113,5 @@ def test_salad_of_many_different_words(spark):
     salad = " ".join(rng.sample(words, len(words)))  # no word twice
     df = spark.createDataFrame([(k + 10, t) for k, t in good] + [(9, salad)], "doc_id long, text string")
     rows = {r.doc_id: r for r in S.judged(df, "doc_id", "text").collect()}
-    assert rows[9].repetition < S.SALAD_REPETITION and rows[9].top < S.KEYWORD_SHARE and rows[9].link_share == 0
+    assert rows[9].pmi <= S.INCOHERENT and rows[9].excess == 0
     assert {k for k, r in rows.items() if r.stuffed} == {9}
