@@ -1,15 +1,15 @@
 """Keyword-stuffed, link-list and navigation pages (problem 10).
 
-Words and pairs of neighbouring words are counted by document over the whole corpus. A pair's
-pointwise mutual information (PMI) says how well its words belong together in *other* documents. Two
-statistics in nats decide about a document, each by itself:
+Pairs of neighbouring words are counted over the whole corpus, each once per document. A pair's
+pointwise mutual information (PMI) says how much more often its words are neighbours in *other*
+documents than by chance. One score in nats decides; it is the sum of
 
-- `pmi`, the mean over its pairs. Word salad around a keyword lies far below zero: its neighbours
-  stand together less often than by chance.
-- `excess`, the PMI, whatever its sign, of repetitions beyond what prose has, per pair: in every
-  stretch of STRETCH pairs, occurrences of a pair beyond ALLOWED count with the absolute PMI of the
-  pair. The small words that prose repeats have a PMI near zero and count little; the collocations of
-  a keyword list, a breadcrumb trail or a product table count fully.
+- `excess`, the PMI of repetitions beyond what prose has, per pair: in every stretch of STRETCH pairs,
+  occurrences of a collocation (a pair of positive PMI) beyond ALLOWED count with its PMI. The small
+  words that prose repeats count little; the collocations of a keyword list, a breadcrumb trail or a
+  product table count fully.
+- what the document's mean PMI, `pmi`, lacks to the corpus median, times INCOHERENCE: the neighbours in word
+  salad and in lists of a keyword with places don't belong together.
 
 A link, tag or handle is a word of its kind, repeated once per LINK_UNIT characters, and lines of
 nothing else run on; so a link list is one collocation over and over, and links after prose are few
@@ -20,13 +20,13 @@ paragraphs are no repetition, unless the line holds a link or most of a document
 REFRAINS times. Numbers and punctuation are no words, so numbered lists aren't either.
 
 Python reads the texts once and writes compact arrays (different words as hashes, pairs as positions in
-them, counts). The most frequent words and pairs, as many as fit the broadcast bound, are looked up
+them, counts); all else runs in the JVM. The most frequent words and pairs, as many as fit the broadcast bound, are looked up
 by broadcast, which is exact and leaves documents where they are; only rarer ones are shuffled to
 their counts, and none of those can be skewed.
 
 Defined cases: null, empty and blank texts and texts without two neighbouring words are no cases; mean
-PMI decides from LEAST_PAIRS pairs; repeated documents get equal results; an empty table gives no rows;
-extra columns are ignored.
+PMI counts from LEAST_PAIRS pairs; a corpus of one document has no evidence against it; repeated documents get equal
+results; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +37,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from recolta.session import materialize
 
-#: Mean PMI below which neighbouring words don't belong together, and the fewest pairs for that.
-INCOHERENT, LEAST_PAIRS = -0.6, 25
-#: PMI of excessive repetitions per pair from which a page is stuffed.
-EXCESS = 0.5
+#: A page is stuffed from a score of STUFFED nats and USUAL times the corpus median of mean PMI on: small corpora know less about
+#: every pair. What a lack of mean PMI counts, and the fewest pairs for that.
+STUFFED, USUAL, INCOHERENCE, LEAST_PAIRS = 0.36, 0.16, 0.5, 25
 #: Pairs of a stretch in which repetitions are counted, and the occurrences that are no excess.
 STRETCH, ALLOWED = 200, 2
 #: Characters of a link for which it counts as one word.
@@ -185,15 +184,15 @@ def _looked_up(facts: DataFrame, on: str, counts: DataFrame, n: str, most: int)
 
 
 def pair_information(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(pair, n, pmi): for each pair the documents with it, and its mutual information in the documents
-    other than one that holds it, smoothed by half a document."""
-    total = max(1, docs.count())
-    words = materialize(docs.select(F.explode("word").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")), "word-counts")
-    pairs = _pairs(docs).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("b").alias("b"))
+    """(pair, n, pmi): for each pair the documents with it, and its mutual information in the documents other than one
+    that holds it, smoothed by half an occurrence. A word's rate is that of the pairs that it begins or ends."""
+    pairs = materialize(_pairs(docs).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("b").alias("b")), "pair-counts")
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
     for side in ("a", "b"):
-        one, two = _looked_up(pairs, side, words.select(F.col("w").alias(side), F.col("c").alias(f"c{side}")), f"c{side}", most_broadcast)
+        words = materialize(pairs.groupBy(side).agg(F.sum("n").alias(f"c{side}")), f"word-counts-{side}")
+        one, two = _looked_up(pairs, side, words, f"c{side}", most_broadcast)
         pairs = materialize(one.unionByName(two), f"pairs-{side}")
-    expected = (F.col("ca") - 1) * (F.col("cb") - 1) / F.lit(total)
+    expected = (F.col("ca") - 1) * ((F.col("cb") - 1) / F.lit(float(total)))
     return pairs.select("pair", "n", F.log((F.col("n") - 0.5) / (expected + 0.5)).alias("pmi"))
 
 
@@ -209,20 +208,19 @@ def coherence(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BRO
     docs = materialize(document_pairs(df, key, text), "document-pairs")
     known = pair_information(docs, most_broadcast)
     each = _pairs(docs, key, "h").select(key, "h", "pair", "times", "beyond")
-    sums = [F.sum(F.col("pmi") * F.col("times")).alias("s"), F.sum("times").alias("t"), F.sum(F.abs("pmi") * F.col("beyond")).alias("e")]
+    sums = [F.sum(F.col("pmi") * F.col("times")).alias("s"), F.sum("times").alias("t"), F.sum(F.greatest(F.lit(0.0), "pmi") * F.col("beyond")).alias("e")]
     parts = [x.groupBy(key, "h").agg(*sums) for x in _looked_up(each, "pair", known, "n", most_broadcast)]
     summed = parts[0].unionByName(parts[1]).groupBy(key, "h").agg(*[F.sum(c).alias(c) for c in "ste"])
     return summed.select(key, "h", F.col("t").alias("pairs"), (F.col("s") / F.col("t")).alias("pmi"), (F.col("e") / F.col("t")).alias("excess"))
 
 
-def decision(pairs: Column, pmi: Column, excess: Column) -> Column:
-    """Whether a document is stuffed."""
-    return (excess >= EXCESS) | (pairs >= LEAST_PAIRS) & (pmi <= INCOHERENT)
-
-
 def judged(df: DataFrame, key: str, text: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """coherence() with `stuffed`."""
-    return coherence(df, key, text, most_broadcast).withColumn("stuffed", decision(F.col("pairs"), F.col("pmi"), F.col("excess")))
+    """coherence() with `score` and `stuffed`."""
+    docs = materialize(coherence(df, key, text, most_broadcast), "coherence")
+    enough = F.col("pairs") >= LEAST_PAIRS
+    usual = docs.agg(F.percentile_approx(F.when(enough, F.col("pmi")), F.lit(0.5), F.lit(1000)).alias("m")).first().m
+    lack = F.when(enough, F.greatest(F.lit(0.0), F.lit(usual).cast("double") - F.col("pmi"))).otherwise(0.0)
+    return docs.withColumn("score", F.col("excess") + INCOHERENCE * lack).withColumn("stuffed", F.col("score") >= STUFFED + USUAL * (usual or 0.0))
 
 
 def stuffed(df: DataFrame, key: str, text: str) -> DataFrame:

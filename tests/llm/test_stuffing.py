@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import statistics
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -35,22 +36,27 @@ def brute_force(rows, information=None):
     for k, t in rows:
         h, _, line = S.tokens([t])
         pairs[k] = [(int(a), int(b)) for a, b, x, y in zip(h, h[1:], line, line[1:]) if x == y]
-    c2 = Counter(p for v in pairs.values() for p in set(v))
-    c1 = Counter(w for k, t in rows for w in set(map(int, S.tokens([t])[0])))
-    own = {p: math.log((n - 0.5) / ((c1[p[0]] - 1) * (c1[p[1]] - 1) / len(rows) + 0.5)) for p, n in c2.items()}
+    count = Counter(p for v in pairs.values() for p in set(v))
+    first, second = Counter(), Counter()
+    for (a, b), n in count.items():
+        first[a] += n
+        second[b] += n
+    own = {p: math.log((n - 0.5) / ((first[p[0]] - 1) * (second[p[1]] - 1) / count.total() + 0.5)) for p, n in count.items()}
     value = information(own) if information else own
     out = {}
     for k, v in pairs.items():
         parts = -(-len(v) // S.STRETCH)
         stretches = [Counter(p for i, p in enumerate(v) if i * parts // len(v) == j) for j in range(parts)]
-        excess = sum(max(0, n - S.ALLOWED) * abs(value[p]) for c in stretches for p, n in c.items())
+        excess = sum(max(0, n - S.ALLOWED) * max(0, value[p]) for c in stretches for p, n in c.items())
         if v:
             out[k] = (len(v), sum(value[p] for p in v) / len(v), excess / len(v))
     return out
 
 
 def decided(rows, information=None):
-    return {k for k, (n, pmi, excess) in brute_force(rows, information).items() if excess >= S.EXCESS or n >= S.LEAST_PAIRS and pmi <= S.INCOHERENT}
+    got = brute_force(rows, information)
+    usual = statistics.median_low(pmi for n, pmi, _ in got.values() if n >= S.LEAST_PAIRS)
+    return {k for k, (n, pmi, excess) in got.items() if excess + S.INCOHERENCE * (max(0, usual - pmi) if n >= S.LEAST_PAIRS else 0) >= S.STUFFED + S.USUAL * usual}
 
 
 def test_statistics_equal_brute_force(spark):
@@ -113,5 +119,5 @@ def test_salad_of_many_different_words(spark):
     salad = " ".join(rng.sample(words, len(words)))  # no word twice
     df = spark.createDataFrame([(k + 10, t) for k, t in good] + [(9, salad)], "doc_id long, text string")
     rows = {r.doc_id: r for r in S.judged(df, "doc_id", "text").collect()}
-    assert rows[9].pmi <= S.INCOHERENT and rows[9].excess == 0
+    assert rows[9].excess == 0 and rows[9].score >= S.STUFFED
     assert {k for k, r in rows.items() if r.stuffed} == {9}
