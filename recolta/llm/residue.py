@@ -3,7 +3,9 @@
 A positive-unlabelled naive Bayes learns from trusted records (wordings of servers, script notices,
 fillers and placeholder syntax that are public and the same everywhere, below) against the
 passages of a bounded sample of the table, by expectation-maximization: unlabelled passages begin as
-negative and get the probability that the last model gives them. Every passage of every text is then
+negative and get the probability that the last model gives them. No passage is evidence about itself: its
+own share is taken out of the counts that judge it, else a wording that only the sample holds would
+stay negative for good. Every passage of every text is then
 scored, and a record is a case if one of its passages is: residue stands for the post or in it.
 
 A passage is a sentence or line. Its features are words, pairs of neighbouring words, and kinds of
@@ -25,22 +27,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from recolta.llm.plain_text import SENTENCES
 from recolta.llm.visual_form import fold
 
 #: Texts of the sample that the classifier is fitted on, chosen by hash, and rounds of EM.
 SAMPLE_TEXTS = 12_000
-#: Characters up to which a text may enter the sample, which bounds what the driver receives.
-LONGEST_SAMPLE = 5_000
-ROUNDS = 6
+#: Characters of a unit of the sample, which bounds what the driver receives: longer texts are cut into units for it.
+SAMPLE_UNIT = 5_000
+ROUNDS = 10
 #: Greatest share of residue among passages that is assumed beforehand.
 MOST_RESIDUE = 0.05
 #: Log-odds from which a passage is residue.
 LEAST_ODDS = 0.0
-#: Further log-odds that a part of a passage needs.
-PART_MARGIN = 4.0
+#: Further log-odds that a part of a passage needs, and a passage of one or two words that is not trusted.
+PART_MARGIN, SHORT_MARGIN = 4.0, 6.0
+#: Greatest log-odds of one feature, for and against residue: a passage has more ordinary words than telling ones.
+FOR, AGAINST = 4.0, 2.3
 
 # Wordings of error pages, script notices, expired sessions, removed posts and fillers.
 TRUSTED = """
@@ -228,6 +232,16 @@ Olá {{ name }}, obrigado por seguir {{ company }}.
 Hallo {{ name }}, bedankt voor je interesse in {{ company }}.
 """
 
+# What people write about errors, scripts and templates in ordinary posts.
+ABOUT = """
+I got an error message yesterday and just restarted the router. The server was down all morning, so we went for coffee. Does your browser still run scripts on every page? I switched them off and now half of the web is empty. My talk is about why pages should work without JavaScript. We replaced the placeholder text with a real one. She wrote a template for our letters and everyone likes it. They asked me to log in again, which took an hour. Why would a page refuse to open when I block scripts? He said the link was broken, so I sent it again.
+Gestern kam wieder eine Fehlermeldung, aber ich habe nur neu gestartet. Warum brauchen so viele Seiten eigentlich JavaScript? Wir haben den Blindtext endlich ersetzt. Der Server war den ganzen Morgen weg.
+J'ai encore vu un message d'erreur hier, mais tout marche maintenant. Pourquoi tant de sites ont besoin de JavaScript ? Nous avons remplacé le faux texte par le vrai.
+Ayer vi otro mensaje de error, pero ya funciona todo. ¿Por qué tantos sitios necesitan JavaScript? Cambiamos el texto de relleno por el de verdad.
+Ieri ho visto un altro messaggio di errore, ma adesso va tutto. Perché tanti siti hanno bisogno di JavaScript?
+Ontem vi outra mensagem de erro, mas agora já funciona. Gisteren zag ik weer een foutmelding, maar nu werkt alles. Waarom hebben zoveel sites JavaScript nodig?
+"""
+
 _PLACEHOLDER = (
     r"\{\{\{?[^{}\n]{1,60}\}?\}\}|[$#]\{[^{}\n]{1,60}\}|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|\{[A-Za-z_][\w. ]{0,40}\}|\[\[[^\[\]\n]{1,60}\]\]"
     r"|<<[^<>\n]{1,60}>>|\*\|[\w.: ]{1,40}\|\*|%%[\w.]{1,40}%%|%[A-Za-z_][\w.]{1,40}%|\b__[A-Za-z][A-Za-z0-9_.]*?__|\[[A-Z][A-Z0-9]*(?:[_.][A-Z0-9]+)*\]"
@@ -236,6 +250,7 @@ _TOKEN = re.compile(rf"({_PLACEHOLDER})|(https?://\S+|www\.\S+|[#@](?=\w)[\w.-]+
 _KIND = {1: "‹field›", 4: "‹0›"}
 
 _BARE = frozenset(["‹0›", *"[]<>{}|/:"])
+_EDGE = _BARE | {"‹", "›"}
 
 
 @dataclass
@@ -245,19 +260,24 @@ class Model:
     weight: dict[str, float]
     prior: float
     short: frozenset[tuple[str, ...]] = frozenset()
+    #: The trusted passages, and those of the sample that are residue by what is known apart from them.
+    found: frozenset[tuple[str, ...]] = frozenset()
 
     def odds(self, tokens: list[str]) -> float:
         own = [t for t in tokens if t not in _BARE]
-        if len(own) < 3 and not ("‹field›" in own or tuple(own) in self.short):
-            return -np.inf  # two words or bare numbers say too little unless they are trusted
+        if not own:
+            return -np.inf  # bare numbers say nothing
         get = self.weight.get
-        return self.prior + sum([get(f, 0.0) for f in features(tokens)])
+        odds = self.prior + sum([get(f, 0.0) for f in features(tokens)])
+        if tuple(tokens) in self.found:
+            return max(odds, LEAST_ODDS + PART_MARGIN)
+        return odds if len(own) > 2 or "‹field›" in own or tuple(own) in self.short else odds - SHORT_MARGIN
 
 
 def features(tokens: list[str]) -> set[str]:
-    """Words and pairs of a passage, with its ends."""
-    found = set(tokens)
-    found.update(map(" ".join, zip(["‹", *tokens], [*tokens, "›"])))
+    """Words and pairs of a passage, with its ends. Numbers and signs tell something beside a word only."""
+    found = set(tokens) - _BARE
+    found.update(f"{a} {b}" for a, b in zip(["‹", *tokens], [*tokens, "›"]) if a not in _EDGE or b not in _EDGE)
     return found
 
 
@@ -311,7 +331,7 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Model:
     """EM over the trusted passages (always positive) and those of the texts."""
     counts = Counter(tuple(p) for t in texts for p in passages(t))
     sure = {tuple(p) for p in trusted()}
-    plain = {tuple(p) for t in SENTENCES.values() for p in passages(t)}
+    plain = {tuple(p) for t in [*SENTENCES.values(), ABOUT] for p in passages(t)} - sure
     rows = sorted(sure) + sorted({k for k in counts if k not in sure} | plain)
     ordinary = np.array([r in plain for r in rows])
     fixed = np.array([r in sure or _only_fields(list(r)) for r in rows])
@@ -323,29 +343,44 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Model:
     at, of = np.array(at), np.array(of)
     # a wording that is stored often tells no more than a few of its kind
     weight = np.array([1.0 + np.log1p(counts.get(r, 0)) for r in rows])
+    total = weight.sum()
+    margin = np.array([SHORT_MARGIN * (sum(t not in _BARE for t in r) < 3 and "‹field›" not in r) for r in rows])
     p = fixed.astype(float)
     for _ in range(rounds):
         positive, negative = weight * p, weight * (1 - p)
         a, b = np.bincount(of, positive[at], len(index)), np.bincount(of, negative[at], len(index))
-        rate = min(MOST_RESIDUE, (positive.sum() + 2) / (weight.sum() + 4))
-        # both rates shrink to the feature's overall rate, so what was rarely seen tells little
-        overall = (a + b + 0.1) / (weight.sum() + 0.2)
-        odds = np.log((a + overall) / (positive.sum() + 1)) - np.log((b + overall) / (negative.sum() + 1))
-        seen = np.minimum(1.0, (a + b) / 3)
-        odds = np.clip(odds * seen, -4, 4)
+        rate = min(MOST_RESIDUE, (positive.sum() + 2) / (total + 4))
         prior = np.log(rate / (1 - rate))
-        score = prior + np.bincount(at, odds[of], len(rows))
+
+        def log_odds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            # both rates shrink to the feature's overall rate, so what was rarely seen tells little
+            overall = (a + b + 0.1) / (total + 0.2)
+            odds = np.log((a + overall) / (positive.sum() + 1)) - np.log((b + overall) / (negative.sum() + 1))
+            return np.clip(odds * np.minimum(1.0, (a + b) / 2), -AGAINST, FOR)
+
+        apart = log_odds(np.maximum(0, a[of] - positive[at]), np.maximum(0, b[of] - negative[at]))
+        score = prior + np.bincount(at, apart, len(rows)) - margin
         p = np.where(fixed, 1.0, np.where(ordinary, 0.0, 1 / (1 + np.exp(-np.clip(score, -30, 30)))))
-    return Model({f: float(odds[i]) for f, i in index.items() if abs(odds[i]) > 0.05}, float(prior), frozenset(_short()))
+    odds = log_odds(a, b)
+    short = frozenset(_short())
+    found = frozenset(rows[i] for i in np.flatnonzero(fixed | ~ordinary & (score >= LEAST_ODDS)))
+    return Model({f: float(odds[i]) for f, i in index.items() if abs(odds[i]) > 0.05}, float(prior), short, found)
+
+
+def sample_units(text: Column) -> Column:
+    """The parts of SAMPLE_UNIT characters of a text, one row each; the text itself if it is no longer."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)), F.lit(SAMPLE_UNIT))
+    return F.explode(F.when(text.isNotNull(), F.transform(starts, lambda i: F.substring(text, i, SAMPLE_UNIT))))
 
 
 def train(df: DataFrame, text: str, sample: int = SAMPLE_TEXTS) -> Model:
-    """Fit on the texts of a bounded sample: the `sample` distinct texts of smallest hash."""
+    """Fit on a bounded sample: the `sample` distinct texts of smallest hash. Of a text longer than SAMPLE_UNIT
+    characters every unit of that length may be chosen."""
     t = F.col(text).cast("string")
     # only hashes below a share that holds the sample about twice are sent on, however many rows there are
     share = min(1.0, 2 * sample / max(1, df.count()))
-    short = df.filter(F.length(t) <= LONGEST_SAMPLE).select(t.alias("t"), F.shiftrightunsigned(F.xxhash64(t), 2).alias("h"))
-    chosen = short.filter(F.col("h") < int(share * 2**62)).distinct().orderBy("h", "t").limit(sample)
+    units = df.select(sample_units(t).alias("t")).select("t", F.shiftrightunsigned(F.xxhash64("t"), 2).alias("h"))
+    chosen = units.filter(F.col("h") < int(share * 2**62)).distinct().orderBy("h", "t").limit(sample)
     texts = sorted(r.t for r in chosen.collect())
     return fit(sorted(set(fold(pa.array(texts, pa.string())).to_pylist())))
 

@@ -1,6 +1,11 @@
+import os
 import random
 
+import pyarrow.parquet as pq
+import pytest
+
 from recolta.llm import residue as R
+from recolta.llm.visual_form import fold
 
 SUBJECTS = ["the neighbour", "my old bicycle", "our garden", "a small radio", "the train to Lund", "this recipe", "her notebook", "the second lamp"]
 VERBS = ["finally works again", "needs a new chain before spring", "made us late for lunch", "was found behind the shelf", "sounds better than I expected", "took the whole weekend"]
@@ -39,3 +44,33 @@ def test_frame(spark):
     assert R.residue(df.limit(0), "id", "text_content").count() == 0
     scores = R.scored(df, "id", "text_content", R.train(df, "text_content"))
     assert scores.count() == len(rows) and scores.filter("odds is null").count() == 3
+
+
+def test_wordings_that_were_never_trusted(monkeypatch):
+    """Half of the trusted lines are taken away, each half in turn: three quarters of the texts that hold only such a
+    wording are found again, and few texts are found that the whole list doesn't find."""
+    path = "/root/testdata/sf0.1/items.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    texts = sorted({t for t in fold(pq.read_table(path, columns=["text_content"]).column(0)).to_pylist() if t})
+    random.Random(1).shuffle(texts)
+    sample = texts[: R.SAMPLE_TEXTS]
+    own = {t: {tuple(p) for p in R.passages(t)} for t in texts}
+    flagged = lambda model: {t for t, o in zip(texts, R.residue_odds(texts, model)) if o >= R.LEAST_ODDS}
+    every = flagged(R.fit(sample))
+    lines = R.TRUSTED.strip().splitlines()
+    held = again = 0
+    for keep in (0, 1):
+        monkeypatch.setattr(R, "TRUSTED", "\n".join(lines[keep::2]))
+        kept = {tuple(p) for p in R.trusted()}
+        gone = {tuple(p) for line in lines[1 - keep :: 2] for p in R.passages(line)} - kept
+        found = flagged(R.fit(sample))
+        assert len(found - every) <= 0.08 * len(found)
+        only = {t for t in every if own[t] & gone and not own[t] & kept and not any("‹field›" in p for p in own[t])}
+        held, again = held + len(only), again + len(only & found)
+    assert held > 150 and again >= 0.75 * held
+
+
+def test_long_texts_enter_the_sample_in_units(spark):
+    df = spark.createDataFrame([("a" * (2 * R.SAMPLE_UNIT + 5),), ("b",), (None,), ("",)], "t string")
+    assert sorted(len(r.t) for r in df.select(R.sample_units(df.t).alias("t")).collect()) == [0, 1, 5, R.SAMPLE_UNIT, R.SAMPLE_UNIT]
