@@ -115,10 +115,11 @@ _bin = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE '+' || lower(trim({c})) E
 _P1 = f"""
 WITH b AS (SELECT id, coalesce(score, '-inf'::DOUBLE) AS s, {_bin("cluster_id")} AS a0, {_bin("semantic_group")} AS a1, {_bin("platform")} AS a2, ('0x' || substr(md5(id), 1, 15))::BIGINT AS h FROM feed_items WHERE id IS NOT NULL),
 o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, a0 DESC, a1 DESC, a2 DESC) = 1),
-r0 AS (SELECT *, row_number() OVER (PARTITION BY a0, a1, a2 ORDER BY h, id) AS r0 FROM o),
-r AS (SELECT *, row_number() OVER (PARTITION BY a0, r0 ORDER BY h, id) AS r1, row_number() OVER (PARTITION BY a1, r0 ORDER BY h, id) AS r2 FROM r0),
-p AS (SELECT id, a2, row_number() OVER (PARTITION BY a2 ORDER BY greatest(r0, r1, r2), h, id) AS turn FROM r)
-SELECT id, turn FROM p ORDER BY turn, a2 LIMIT {SUBSET_SIZE}
+w0 AS (SELECT *, row_number() OVER (PARTITION BY a0, a1, a2 ORDER BY h, id) AS r0 FROM o),
+w1 AS (SELECT *, row_number() OVER (PARTITION BY a0, r0 ORDER BY h, id) AS r1 FROM w0),
+w2 AS (SELECT *, row_number() OVER (PARTITION BY a1, r0, r1 ORDER BY h, id) AS r2 FROM w1),
+w3 AS (SELECT *, row_number() OVER (PARTITION BY a2, r0 ORDER BY r1, r2, h, id) AS r3 FROM w2)
+SELECT id, r0 AS turn FROM w3 ORDER BY r0, r1, r2, r3, a2, h, id LIMIT {SUBSET_SIZE}
 """
 
 QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_findings": p6_findings, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_languages": p7_languages, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned, "p10_found": p10_found, "p10_scores": p10_scores}

@@ -1,15 +1,17 @@
 """Choosing a varied subset of given size (problem 1).
 
 Records are binned into the cells of a grid over several attributes. Within a cell they are ranked;
-then all are ordered by rank, by how often their cell's other values were met before, and by cell,
-and the first k are chosen: a round-robin over cells that mirrors no large group. Only Spark SQL.
+then all are ordered by rank and by cell, and the first k are chosen: a round-robin over cells that
+mirrors no large group. Only Spark SQL.
 
-The order of the cells of one rank is itself a nested round-robin: cells of a group and of a cluster
-not met yet come first, and among those the values of the coarsest attribute take turns.
+The order of the cells of one rank is itself a round-robin: by how many cells of that rank came before
+in the finest attribute's value, among equal ones in the next attribute's, and so on; of the coarsest attribute
+all cells of the round that came before count. So cells of a cluster not met yet come first, then those of a group
+not met yet, and platforms take turns over the whole round.
 
-No task ranks a whole large group: ranks in a large group are the count of all rows in earlier
-buckets of an order-preserving hash plus the rank within the own bucket. The first k are found from
-the sizes of the coarsest attribute's values, without sorting everything.
+Only what can still be chosen is sorted. At every step the sizes of the groups tell the rank R up to which
+k records are reached: groups give their first R records, those of lower rank are chosen, and only those of rank R
+go on to the next step. A group's first R are taken in salted parts first, so no task sees a whole large group.
 
 Defined cases: keys are chosen once, the row of highest score (then greatest attributes) standing
 for a repeated key; null attributes are one value of their own; spelling of an attribute counts
@@ -21,11 +23,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from recolta.operators.skew import heavy_threshold
+from recolta.operators.skew import SALTS
 from recolta.session import materialize
 
-#: The hash has HASH_BITS bits; its first ones cut a large group into BUCKETS parts.
-HASH_BITS, BUCKETS = 60, 256
+#: Bits of the hash that orders keys of equal rank.
+HASH_BITS = 60
 
 
 def _bin(c: str) -> Column:
@@ -34,65 +36,54 @@ def _bin(c: str) -> Column:
     return F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.lower(F.trim(text))))
 
 
-def fair_share(sizes: DataFrame, k: int) -> int:
-    """The least r for which all groups together hold at least k records of rank r or less.
+def fair_share(sizes: DataFrame, k: int) -> tuple[int, int]:
+    """(r, taken): the least r for which all groups together hold k records of rank r or less, and how many records
+    have a lower rank. sizes: one row per group with its size n.
 
-    sizes: one row per group with its size n. Only the histogram of sizes is read: as many rows as
-    there are different sizes up to k, at most the root of twice the number of records.
+    Computed over the histogram of sizes, which has as many rows as there are different sizes up to k; one row comes back.
     """
-    hist = sizes.groupBy(F.least("n", F.lit(k)).alias("n")).agg(F.count(F.lit(1)).alias("groups")).orderBy("n").collect()
-    rest, r, left = k, 0, sum(h["groups"] for h in hist)
-    for h in hist:
-        step = h["n"] - r
-        if left * step >= rest:
-            return r + -(-rest // left)
-        rest -= left * step
-        r, left = h["n"], left - h["groups"]
-    return max(1, r)
-
-
-def rank_in_group(df: DataFrame, keys: list[str], lead: list[str], name: str, heavy_rows: int) -> DataFrame:
-    """row_number over keys, ordered by `lead` (small integers), the hash _h and _key; exact, and balanced however
-    large a group is. Groups of heavy_rows rows or more are cut into buckets of the hash."""
-    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= heavy_rows).select(*keys, F.lit(True).alias("_hot"))
-    width = 2**HASH_BITS // BUCKETS
-    hot = F.coalesce("_hot", F.lit(False))
-    cut = df.join(F.broadcast(heavy), keys, "left").withColumn("_b", F.when(hot, F.floor(F.col("_h") / F.lit(width)).cast("int")).otherwise(-1))
-    split = ["_b"]
-    for c in lead:  # in a large group every step of the lead is a bucket of its own
-        cut = cut.withColumn(f"_b{c}", F.when(hot, F.col(c)).otherwise(-1))
-        split = [f"_b{c}", *split]
-    counts = cut.filter(hot).groupBy(*keys, *split).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy(*split).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, *split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = cut.withColumn(name, F.row_number().over(W.partitionBy(*keys, *split).orderBy(*lead, "_h", "_key")))
-    return ranked.join(offsets, [*keys, *split], "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_hot", *split)
-
-
-def choose(df: DataFrame, key: str, attributes: list[str], k: int, score: str | None = None, heavy_rows: int | None = None) -> DataFrame:
-    """(key, turn): k different keys that cover the attributes' values as evenly as possible, and the round
-    in which each was chosen. attributes: from the finest (a cluster) to the coarsest (a platform)."""
+    hist = sizes.groupBy(F.least("n", F.lit(k)).alias("n")).agg(F.count(F.lit(1)).alias("g"))
+    upto = W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    after = W.orderBy("n").rowsBetween(1, W.unboundedFollowing)
+    larger = F.coalesce(F.sum("g").over(after), F.lit(0))
+    filled = hist.withColumn("larger", larger).withColumn("s", F.sum(F.col("n") * F.col("g")).over(upto) + F.col("n") * F.col("larger"))
+    prior = lambda c: F.coalesce(F.lag(c).over(W.orderBy("n")), F.lit(0))
+    steps = filled.select("n", "s", prior("n").alias("n0"), prior("s").alias("s0"), (F.col("g") + F.col("larger")).alias("open"))
+    round_ = F.least("n", F.col("n0") + F.ceil((F.lit(k) - F.col("s0")) / F.col("open"))).cast("long").alias("r")
+    reached = steps.filter(F.col("s0") < k).orderBy(F.desc("n")).select(round_, (F.col("s0") + (round_ - 1 - F.col("n0")) * F.col("open")).cast("long").alias("taken"))
+    one = reached.first()
+    return (int(one.r), int(one.taken)) if one else (0, 0)
+
+
+def first_in_group(df: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
+    """The first `most` rows of every group by _h and _key, with their rank. Salted parts give their first ones before."""
+    order = ["_h", "_key"]
+    part = F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))
+    parts = df.withColumn("_salt", F.pmod(F.col("_h"), F.lit(SALTS)).cast("int")).withColumn("_part", part).filter(F.col("_part") <= most).drop("_part", "_salt")
+    return parts.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= most)
+
+
+def choose(df: DataFrame, key: str, attributes: list[str], k: int, score: str | None = None) -> DataFrame:
+    """(key, turn): k different keys that cover the attributes' values as evenly as possible, and the round of the
+    grid in which each was chosen. attributes: from the finest (a cluster) to the coarsest (a platform)."""
     names = [f"_a{i}" for i in range(len(attributes))]
-    coarse = names[-1]
     bins = [_bin(c).alias(n) for c, n in zip(attributes, names)]
     best = F.col(score).cast("double") if score else F.lit(0.0)
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.coalesce(best, F.lit(float("-inf"))).alias("_s"), *bins)
     one = rows.groupBy("_key").agg(F.max(F.struct("_s", *names)).alias("v")).select("_key", *[f"v.{n}" for n in names])
     hashed = F.conv(F.substring(F.md5(F.col("_key").cast("string").cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    ranked = materialize(one.withColumn("_h", hashed), "subset-keys")
-    heavy = heavy_rows or heavy_threshold(ranked.count())
-    ranked = materialize(rank_in_group(ranked, names, [], "_r0", heavy), "subset-cells")
-    turns = ["_r0"]
-    for i, n in enumerate(names[:-1], 1):  # how many of the same rank had this value before
-        ranked = materialize(rank_in_group(ranked, [n, "_r0"], [], f"_r{i}", heavy), "subset-values")
-        turns.append(f"_r{i}")
-    turn = F.greatest(*turns) if len(turns) > 1 else F.col("_r0")
-    ranked = ranked.select("_key", "_h", turn.cast("int").alias("_turn"), coarse)
-    last = materialize(rank_in_group(ranked, [coarse], ["_turn"], "_p", heavy), "subset-ranked")
-    sizes = materialize(last.groupBy(coarse).agg(F.count(F.lit(1)).alias("n")), "subset-sizes")
-    rounds = fair_share(sizes, k) if k > 0 else 0
-    taken = sizes.agg(F.coalesce(F.sum(F.least("n", F.lit(max(0, rounds - 1)))), F.lit(0)).alias("n")).first().n
-    full = last.filter(F.col("_p") < rounds)
-    # in the last round at most one key of each coarse value remains, and some of them fit
-    partial = last.filter(F.col("_p") == rounds).orderBy(coarse).limit(max(0, k - taken))
-    return full.unionByName(partial).select(F.col("_key").alias(key), F.col("_p").cast("long").alias("turn"))
+    pool = materialize(one.withColumn("_h", hashed), "subset-keys")
+    coarse = names[-1]
+    left, chosen = max(0, k), pool.limit(0).select("_key", coarse, F.lit(0).cast("long").alias("turn"))
+    for i, keys in enumerate([names, *[[n] for n in names[:-1]]]):
+        most, taken = fair_share(pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), left)
+        ranked = first_in_group(pool, keys, most, "_r")
+        if not i:
+            round_, ranked = most, ranked.withColumn("turn", F.col("_r").cast("long"))
+        ranked = materialize(ranked, "subset-ranked")
+        chosen = chosen.unionByName(ranked.filter(F.col("_r") < most).select("_key", coarse, "turn"))
+        pool, left = ranked.filter(F.col("_r") == most).drop("_r"), left - taken
+    met = chosen.filter(F.col("turn") == round_).groupBy(coarse).agg(F.count(F.lit(1)).alias("_met"))  # at most k rows
+    ranked = first_in_group(pool, [coarse], left, "_r").join(met, coarse, "left")
+    last = ranked.orderBy(F.col("_r") + F.coalesce("_met", F.lit(0)), coarse).limit(left)
+    return chosen.select("_key", "turn").unionByName(last.select("_key", "turn")).select(F.col("_key").alias(key), "turn")
