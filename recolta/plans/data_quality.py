@@ -8,16 +8,16 @@ from recolta.operators import orphans as O
 from recolta.sources.tables import table
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return O.orphan_references(table(spark, d, "memory_nodes"), table(spark, d, "memory_edges"), table(spark, d, "items"))
+def _tables(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, name) for name in ("memory_nodes", "memory_edges", "items")]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("src_table", "src_column", "src_key", "reason").distinct()
+    return O.orphan_references(*_tables(spark, d)).select("src_table", "src_column", "src_key", "reason").distinct()
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    return O.orphan_counts(_orphans(spark, d))
+    return O.orphan_counts(*_tables(spark, d))
 
 
 _P3 = """

@@ -1,5 +1,7 @@
 from datetime import datetime as D
 
+from pyspark.sql import functions as F
+
 from recolta.operators.orphans import orphan_counts, orphan_references
 
 NODES = "memory_id string, item_id string, created_at timestamp, updated_at timestamp, forgotten_at timestamp, reason string"
@@ -27,8 +29,21 @@ def test_reasons_nulls_ties_and_repeats(spark):
         got = made(spark, nodes, edges, items, heavy_rows=heavy)
         rows = [tuple(r)[:4] for r in got.collect()]
         assert set(rows) == want and len(rows) == len(want)
-    counts = {tuple(r) for r in orphan_counts(got).collect()}
-    assert ("memory_edges", "from_memory_id", "missing", "2026-02", 1) in counts
+    tables = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), spark.createDataFrame(items, "id string, captured_at timestamp, known int")
+    for heavy in (None, 2, 1):
+        counts = {tuple(r) for r in orphan_counts(*tables, heavy_rows=heavy).collect()}
+        assert ("memory_edges", "from_memory_id", "missing", "2026-02", 1) in counts
+        assert counts == {tuple(r) for r in got.groupBy("src_table", "src_column", "reason", F.date_format("created_at", "yyyy-MM")).count().collect()}
+
+
+def test_one_key_with_a_million_references(spark):
+    nodes = spark.createDataFrame([("hot", None, d(15), d(15), d(20), None)], NODES)
+    edges = spark.range(1_000_000).selectExpr("cast(id as string) edge_id", "'hot' from_memory_id", "cast(null as string) to_memory_id", "timestamp'2026-01-01' + make_interval(0, 0, 0, cast(id % 59 as int)) created_at")
+    items = spark.createDataFrame([], "id string, captured_at timestamp")
+    per_day = {i: len(range(i, 1_000_000, 59)) for i in range(59)}
+    want = {("late", "2026-01"): sum(per_day[i] for i in range(14)), ("deleted", "2026-01"): sum(per_day[i] for i in range(19, 31)), ("deleted", "2026-02"): sum(per_day[i] for i in range(31, 59))}
+    assert {(r.reason, r.month): r.orphans for r in orphan_counts(nodes, edges, items).collect()} == want
+    assert orphan_references(nodes, edges, items).count() == sum(want.values())
 
 
 def test_empty_tables(spark):
