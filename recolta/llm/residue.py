@@ -41,8 +41,9 @@ ROUNDS = 10
 MOST_RESIDUE = 0.05
 #: Log-odds from which a passage is residue.
 LEAST_ODDS = 0.0
-#: Further log-odds that a part of a passage needs, and a passage of one or two words that is not trusted.
-PART_MARGIN, SHORT_MARGIN = 4.0, 6.0
+#: Further log-odds that a part of a passage needs, a passage of one or two words that is not trusted, and any passage that
+#: is judged by what is known apart from it.
+PART_MARGIN, SHORT_MARGIN, APART_MARGIN = 4.0, 6.0, 1.5
 #: Greatest log-odds of one feature, for and against residue: a passage has more ordinary words than telling ones.
 FOR, AGAINST = 4.0, 2.3
 
@@ -344,7 +345,7 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Model:
     # a wording that is stored often tells no more than a few of its kind
     weight = np.array([1.0 + np.log1p(counts.get(r, 0)) for r in rows])
     total = weight.sum()
-    margin = np.array([SHORT_MARGIN * (sum(t not in _BARE for t in r) < 3 and "‹field›" not in r) for r in rows])
+    margin = APART_MARGIN + np.array([SHORT_MARGIN * (sum(t not in _BARE for t in r) < 3 and "‹field›" not in r) for r in rows])
     p = fixed.astype(float)
     for _ in range(rounds):
         positive, negative = weight * p, weight * (1 - p)
