@@ -118,12 +118,14 @@ def weights(query: str) -> dict[str, float]:
     return base | {"duplicate": 0.14, "stale": 0.12}
 
 
-def retrieval_score(query: str, semantic: Column, captured: Column, importance: Column, hay: Column, confidence: Column, duplicate: Column, decay_score: Column, archived: Column, as_of: str) -> dict[str, Column]:
-    """Weighted terms of the retrieval score and their clamped total, unrounded. hay: lower-case text and topics."""
+def retrieval_score(query: str, semantic: Column, captured: Column, importance: Column, hay: Column, confidence: Column, duplicate: Column, decay_score: Column, archived: Column, as_of: str, hint: str = "") -> dict[str, Column]:
+    """Weighted terms of the retrieval score and their clamped total, unrounded. hay: lower-case text and topics; hint: what
+    else the asking context says, which counts for less than the query."""
     w = weights(query)
     q = query.strip().lower()
     temporal = F.when(captured.isNull(), 0.5).otherwise(clamp(1.0 - age_days(captured, as_of) / 365.0))
-    context = F.when(hay.contains(q), 0.7).otherwise(0.0) if q else F.lit(0.0)
+    said = hint.strip().lower()
+    context = (F.when(hay.contains(q), 0.7).otherwise(0.0) if q else F.lit(0.0)) + (F.when(hay.contains(said), 0.3).otherwise(0.0) if said else F.lit(0.0))
     stale = clamp(F.coalesce(decay_score, F.lit(0.0)) + F.when(archived.isNotNull(), 0.25).otherwise(0.0))
     terms = {
         "semantic": w["semantic"] * semantic,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from recolta.functions import scores as S, text as T
+from recolta.operators.skew import broadcast_if_small
+from recolta.session import materialize
 
 # Words that mark a contradiction.
 MARKERS = (" but ", " however ", " contradict", " conflict", " changed ")
@@ -51,11 +53,35 @@ def _bounded(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), c))
 
 
-def heatmap(events: DataFrame, days: int = 1) -> DataFrame:
-    """(day, event_type, events, mean_amount) per UTC day, or per window of several days."""
-    ev = clean_events(events)
-    day = F.to_date("created_at") if days == 1 else F.to_date(F.window("created_at", f"{days} days")["start"])
-    return ev.groupBy(day.alias("day"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.avg("amount"), 6).alias("mean_amount"))
+NODE = ["updated_at", "created_at", "state", "decay_score", "reinforcement", "importance_score", "last_accessed_at", "forgotten_at", "namespace"]
+
+
+def valid_nodes(nodes: DataFrame, namespace: str) -> DataFrame:
+    """One row per memory of a namespace: the one changed last, ties going to the greatest values in the order of NODE."""
+    last = nodes.filter(F.col("memory_id").isNotNull()).groupBy("memory_id").agg(F.max(F.struct(*NODE)).alias("v")).select("memory_id", "v.*")
+    return last.filter(F.coalesce("namespace", F.lit("default")) == namespace)
+
+
+def heatmap(nodes: DataFrame, namespace: str) -> DataFrame:
+    """(day, state, memories, mean_reinforcement, mean_decay) per UTC day of creation and state of the namespace's memories."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)).cast("decimal(18,10)"), 6).cast("double")
+    by = valid_nodes(nodes, namespace).groupBy(F.to_date("created_at").alias("day"), "state")
+    return by.agg(F.count(F.lit(1)).alias("memories"), mean("reinforcement").alias("mean_reinforcement"), mean("decay_score").alias("mean_decay"))
+
+
+def aging(nodes: DataFrame, namespace: str, limit: int = 200) -> DataFrame:
+    """The memories of a namespace that changed last, with what is to be done with each; a top-k."""
+    score = F.coalesce("decay_score", F.lit(0.0))
+    top = valid_nodes(nodes, namespace).orderBy(F.desc("updated_at"), "memory_id").limit(limit)
+    return top.select("memory_id", "state", F.round(score, 6).alias("decay_score"), F.round(F.coalesce("reinforcement", F.lit(0.0)), 6).alias("reinforcement"), F.round(F.coalesce("importance_score", F.lit(0.0)), 6).alias("importance_score"), "last_accessed_at", "forgotten_at", "updated_at", S.next_action(score, F.col("state")).alias("next_action"))
+
+
+def recent_graph(nodes: DataFrame, edges: DataFrame, namespace: str, limit: int = 300) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the memories of a namespace changed last, and the edges made last, of all namespaces; both are top-k."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    own = valid_nodes(nodes, namespace).orderBy(F.desc("updated_at"), "memory_id").limit(limit)
+    made = edges.select("edge_id", "from_memory_id", "to_memory_id", "relation", "confidence", "created_at").distinct().orderBy(F.desc("created_at"), "edge_id").limit(limit)
+    return own.select("memory_id", "state", zero("reinforcement"), zero("decay_score"), zero("importance_score")), made.select("edge_id", "from_memory_id", "to_memory_id", "relation", zero("confidence"))
 
 
 def latest(events: DataFrame, nodes: DataFrame, namespace: str, limit: int = 200) -> DataFrame:
@@ -86,8 +112,8 @@ def resolve_conflicts(conflicts: DataFrame) -> DataFrame:
 def relations(items: DataFrame, candidates: int = 40) -> DataFrame:
     """(from_id, to_id, relation, confidence): each item against the newest other items of its namespace.
 
-    The candidates are the same few rows for all items of a namespace: a top-k per namespace, broadcast
-    as one array, so nothing is paired by a join of rows.
+    The candidates are the same few rows for all items of a namespace: a top-k per namespace, joined
+    as one array (by broadcast while all arrays together are small), so nothing is paired by a join of rows.
     """
     low = F.lower(T.text_or_empty(F.col("text_content")))
     ns = F.coalesce("namespace", F.lit("default"))
@@ -97,7 +123,9 @@ def relations(items: DataFrame, candidates: int = 40) -> DataFrame:
     for keys in (["ns", "part"], ["ns"]):  # in two steps, so that no task sorts a whole namespace
         recent = recent.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("n") <= candidates + 1)
     lists = recent.groupBy("ns").agg(F.array_sort(F.collect_list(F.struct("n", "id", "text"))).alias("c"))
-    pairs = base.join(F.broadcast(lists), "ns").select("id", "text", "entities", "topics", "semantic_group", F.explode(F.slice(F.filter("c", lambda x: x["id"] != F.col("id")), 1, candidates)).alias("o"))
+    lists = materialize(lists, "relation-candidates")
+    near = broadcast_if_small(lists, F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + 64 + F.length(x["text"])))
+    pairs = base.join(near, "ns").select("id", "text", "entities", "topics", "semantic_group", F.explode(F.slice(F.filter("c", lambda x: x["id"] != F.col("id")), 1, candidates)).alias("o"))
     other = F.col("o.text")
     shared = F.exists("entities", lambda e: other.contains(e))
     marked = F.lit(False)

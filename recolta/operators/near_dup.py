@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from recolta.functions import text as T, urls as U
+from recolta.operators.skew import broadcast_if_small
+from recolta.session import materialize
 
 
 def similarity(a: str, b: str) -> float:
@@ -22,7 +24,7 @@ def near_duplicates(stored: DataFrame, new: DataFrame, threshold: float = 0.82,
     """(id, duplicate_of, ratio): each new row's first sufficiently similar row among the newest `recent` stored
     rows of its platform and namespace.
 
-    The stored candidates are few per platform and namespace by definition, and are broadcast; lengths
+    The stored candidates are few per platform and namespace by definition, and are broadcast while they are small together; lengths
     bound the ratio before any text is compared. Null and empty texts have no duplicate.
     """
     key = [U.platform_name(F.col("platform")).alias("p"), F.coalesce("namespace", F.lit("default")).alias("ns")]
@@ -31,7 +33,9 @@ def near_duplicates(stored: DataFrame, new: DataFrame, threshold: float = 0.82,
     for keys in (["p", "ns", "part"], ["p", "ns"]):
         base = base.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("captured_at"), "id"))).filter(F.col("n") <= recent)
     lists = base.groupBy("p", "ns").agg(F.array_sort(F.collect_list(F.struct("n", F.col("id").alias("other"), F.col("t").alias("u")))).alias("c"))
-    pairs = new.select(*key, "id", text.alias("t")).join(F.broadcast(lists), ["p", "ns"]).select("id", "t", F.explode("c").alias("o")).select("id", "t", "o.*").filter("other <> id")
+    lists = materialize(lists, "near-dup-candidates")
+    near = broadcast_if_small(lists, F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + 64 + F.length(x["u"])))
+    pairs = new.select(*key, "id", text.alias("t")).join(near, ["p", "ns"]).select("id", "t", F.explode("c").alias("o")).select("id", "t", "o.*").filter("other <> id")
     short, long = F.least(F.length("t"), F.length("u")), F.length("t") + F.length("u")
     close = pairs.filter((short > 0) & (2 * short / long >= threshold))
 

@@ -239,12 +239,14 @@ def rag_context(hits: DataFrame, order: str, cfg: EngineConfig) -> DataFrame:
 
 
 def feed(enriched: DataFrame, cfg: EngineConfig, mode: str = "default", limit: int = 20) -> DataFrame:
-    """The ranked feed: the hottest candidates of the namespace, scored, the best first. Both cuts are top-k."""
+    """The ranked feed: the hottest candidates of the namespace, scored, the best first. Both cuts are top-k. A row
+    that was surfaced counts as untouched since `last_surfaced`, where the table has that column."""
     live = I.in_namespace(enriched, cfg).filter(F.col("archived_at").isNull())
     few = live.orderBy(F.desc("heat"), F.desc("captured_at"), "id").limit(max(12 * limit, 120))
     age = S.age_days(F.col("captured_at"), cfg.as_of)
     bonus = S.mode_bonus(mode, F.col("content_type"), F.col("text_content"), F.col("surfaced_count"))
-    score, reason, review = S.feed_score(age, age, F.col("heat"), F.col("dwell_seconds"), F.col("starred"), F.col("decay_score"), F.col("noise_score"), bonus)
+    untouched = S.age_days(F.coalesce("last_surfaced", "captured_at"), cfg.as_of) if "last_surfaced" in few.columns else age
+    score, reason, review = S.feed_score(age, untouched, F.col("heat"), F.col("dwell_seconds"), F.col("starred"), F.col("decay_score"), F.col("noise_score"), bonus)
     scored = few.select("id", "platform", "heat", I.excerpt(F.col("text_content"), 220).alias("text_excerpt"), F.round(score, 6).alias("score"), reason.alias("surface_reason"), review.alias("needs_review"))
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 

@@ -29,3 +29,14 @@ def join_unique(facts: DataFrame, dim: DataFrame, on: list[str], counts: DataFra
     hot = counts.filter(heavy).select(*on, F.lit(True).alias("_hot"))  # bounded by MOST_HEAVY with heavy_threshold()
     salted = facts.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(F.lit(-1))).drop("_hot")
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+
+
+#: Bytes of text up to which a table is broadcast.
+MOST_BROADCAST_BYTES = 64 * 2**20
+
+
+def broadcast_if_small(df: DataFrame, size: Column, most: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if the sum of `size` over its rows is at most `most`; otherwise df as it is, for a shuffle
+    join whose skewed keys are split at run time. Materialise df first: it is read here."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if total <= most else df

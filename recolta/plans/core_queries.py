@@ -57,12 +57,6 @@ def hour_groups(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_search(s: SparkSession, d: str) -> DataFrame:
-    own = I.visible(I.in_namespace(items(s, d), CFG), CFG).select("id")
-    hits = R.bm25(items(s, d), "id", ["text_content", "author"], QUERY).join(own, "id", "left_semi")
-    return hits.select("id", F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "id").limit(50)
-
-
-def bm25_search_all(s: SparkSession, d: str) -> DataFrame:
     i = items(s, d)
     own = I.visible(I.in_namespace(i, CFG), CFG).select("id")
     hits = R.bm25(i, "id", R.indexed(i), QUERY, fold=True).join(own, "id", "left_semi")
@@ -96,7 +90,7 @@ def cosine_by_label(s: SparkSession, d: str) -> DataFrame:
 
 def hash_embedding(s: SparkSession, d: str) -> DataFrame:
     v = R.hash_embedding(items(s, d), "id", "text_content", 32)
-    return v.select("id", *[F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in range(4)])
+    return v.select("id", *[F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in range(32)])
 
 
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
@@ -316,7 +310,19 @@ def lifecycle_fold(s: SparkSession, d: str) -> DataFrame:
 
 
 def heatmap(s: SparkSession, d: str) -> DataFrame:
-    return L.heatmap(table(s, d, "memory_events"))
+    return L.heatmap(table(s, d, "memory_nodes"), "default")
+
+
+def aging(s: SparkSession, d: str) -> DataFrame:
+    return L.aging(table(s, d, "memory_nodes"), "default").withColumns({c: stamp(c) for c in ("last_accessed_at", "forgotten_at", "updated_at")})
+
+
+def graph_nodes(s: SparkSession, d: str) -> DataFrame:
+    return L.recent_graph(table(s, d, "memory_nodes"), table(s, d, "memory_edges"), "default")[0]
+
+
+def graph_edges(s: SparkSession, d: str) -> DataFrame:
+    return L.recent_graph(table(s, d, "memory_nodes"), table(s, d, "memory_edges"), "default")[1]
 
 
 def event_timeline(s: SparkSession, d: str) -> DataFrame:
@@ -397,9 +403,9 @@ def export_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    list_items, point_lookup, multi_get, timeline_day, hour_groups, bm25_search, bm25_search_all, phrase_search, postings_stats, vector_knn, vector_knn_all, cosine_by_label, hash_embedding, rrf_fusion, diversity_rerank, hybrid_search, retrieval_trace,
+    list_items, point_lookup, multi_get, timeline_day, hour_groups, bm25_search, phrase_search, postings_stats, vector_knn, vector_knn_all, cosine_by_label, hash_embedding, rrf_fusion, diversity_rerank, hybrid_search, retrieval_trace,
     rag_context, context_lines, resurface, library_feed, decay_states, ranking_primitives, auto_archive, heat_decay, additive_rank, noise, prompt_risk, sensitivity, redact, sanitize, topics, entities, clip_summaries, embedding_text,
     canonical_urls, cluster_keys, fingerprints, capture_confidence, keep_first, insert_ignore, patch_items, bump_heat, mark_surfaced, stats_overview, by_platform, by_type, reliability, dashboard, recall_eval, evaluation, failure_cases,
-    rank_metrics, token_reduction, latency_percentiles, verify_findings, repair, lifecycle_fold, heatmap, event_timeline, memory_nodes, forget, conflicts, relations, graph_degree, near_dup_similarity, html_extract, rate_limit,
+    rank_metrics, token_reduction, latency_percentiles, verify_findings, repair, lifecycle_fold, heatmap, aging, graph_nodes, graph_edges, event_timeline, memory_nodes, forget, conflicts, relations, graph_degree, near_dup_similarity, html_extract, rate_limit,
     circuit_breaker, backoff, debounce, tumbling_counts, dwell_sessions, export_lines,
 )} | {f"feed_{m}": _feed(m) for m in ("default", "focus", "light", "explore")}

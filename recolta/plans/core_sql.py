@@ -10,6 +10,8 @@ TAG = lambda t: f"list_contains(list_transform(tags, lambda x: lower(x)), '{t}')
 WORDS = lambda c: f"regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+')"
 COLLAPSE = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
 CLIP = lambda c, n: f"CASE WHEN length({COLLAPSE(c)}) > {n} THEN rtrim(substr({COLLAPSE(c)}, 1, {n - 3})) || '...' ELSE {COLLAPSE(c)} END"
+#: Words of the full-text index: no diacritics, captions as one text.
+INDEXED = "list_concat(list_concat({}, {}), {})".format(*[f"regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+')" for c in ("text_content", "array_to_string(image_captions, ' ')", "author")])
 FIRST_WORDS = lambda c, n: f"array_to_string(string_split({COLLAPSE(c)}, ' ')[1:{n}], ' ')"
 LOW = "lower(coalesce(text_content, ''))"
 HEAT = "CASE WHEN heat IS NULL OR heat = 0 THEN 1.0 ELSE heat END"
@@ -66,6 +68,7 @@ def _ranked(query: str) -> str:
     return f"SELECT '{query}' AS query, row_number() OVER (ORDER BY bm25 DESC, id) AS rank, starred, text_content AS text FROM (WITH {_bm25(query.split(), WORDS('text_content'))} SELECT * FROM h ORDER BY bm25 DESC, id LIMIT 10)"
 
 
+_VALID = "WITH v AS (SELECT * FROM memory_nodes WHERE memory_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST, state DESC NULLS LAST, decay_score DESC NULLS LAST, reinforcement DESC NULLS LAST, importance_score DESC NULLS LAST) = 1), n AS (SELECT * FROM v WHERE coalesce(namespace, 'default') = 'default')"
 _FIRST = "WITH ev AS (SELECT event_id, arg_min(memory_id, created_at) AS memory_id, arg_min(event_type, created_at) AS event_type, min(created_at) AS created_at, arg_min(CASE WHEN json_valid(payload) THEN try_cast(json_extract_string(payload, '$.amount') AS DOUBLE) END, created_at) AS amount FROM (SELECT DISTINCT event_id, memory_id, event_type, payload, created_at FROM memory_events) GROUP BY event_id)"
 _STATES = "CASE event_type WHEN 'capture' THEN 'captured' WHEN 'normalize' THEN 'normalized' WHEN 'summarize' THEN 'summarized' WHEN 'index' THEN 'indexed' WHEN 'reinforce' THEN 'reinforced' WHEN 'decay' THEN 'decaying' WHEN 'archive' THEN 'archived' WHEN 'forget' THEN 'forgotten' END"
 _ANY = lambda words: " OR ".join(f"{LOW} LIKE '%{w}%'" for w in words)
@@ -83,7 +86,7 @@ SQL: dict[str, str] = {
     "multi_get": "SELECT id, platform, author FROM items WHERE id IN (SELECT item_id FROM memory_nodes WHERE state = 'forgotten')",
     "timeline_day": f"SELECT id, {STAMP('captured_at')} AS captured_at, platform FROM items WHERE captured_at >= TIMESTAMPTZ '2026-03-10 00:00:00+00' AND captured_at < TIMESTAMPTZ '2026-03-11 00:00:00+00'",
     "hour_groups": "SELECT hour(captured_at AT TIME ZONE 'UTC') AS hour, count(*) AS items, arg_min(id, (captured_at, id)) AS first_id, arg_max(id, (captured_at, id)) AS last_id FROM items WHERE captured_at >= TIMESTAMPTZ '2026-03-10 00:00:00+00' AND captured_at < TIMESTAMPTZ '2026-03-11 00:00:00+00' GROUP BY 1",
-    "bm25_search": f"WITH {_bm25(['release', 'notes'], f'list_concat({WORDS("text_content")}, {WORDS("author")})')} SELECT id, bm25 FROM h WHERE archived_at IS NULL AND coalesce(namespace, 'default') = 'default' ORDER BY bm25 DESC, id LIMIT 50",
+    "bm25_search": f"WITH {_bm25(['release', 'notes'], INDEXED)} SELECT id, bm25 FROM h WHERE archived_at IS NULL AND coalesce(namespace, 'default') = 'default' ORDER BY bm25 DESC, id LIMIT 50",
     "phrase_search": f"WITH t AS (SELECT id, list_filter({WORDS('text_content')}, lambda x: x <> '') AS w FROM items), h AS (SELECT id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'release' AND w[i + 1] = 'notes')) AS hits FROM t) SELECT * FROM h WHERE hits > 0",
     "postings_stats": f"WITH t AS (SELECT id, unnest({WORDS('text_content')}) AS term FROM items) SELECT term, count(DISTINCT id) AS docs, count(*) AS hits FROM t WHERE term <> '' GROUP BY term",
     "vector_knn": "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, list_sum(list_transform(list_zip(embedding, e), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))) AS d FROM embeddings, q) ORDER BY d, vec_id LIMIT 20",
@@ -119,7 +122,10 @@ SQL: dict[str, str] = {
     "lifecycle_fold": _FIRST + f""", o AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY created_at, event_id) AS n FROM ev WHERE memory_id IS NOT NULL),
 g AS (SELECT memory_id, list(CASE WHEN event_type = 'reinforce' THEN greatest(-1.0, least(1.0, coalesce(amount, 0.1))) ELSE 0.0 END ORDER BY n) AS s, count(*) AS events, min(created_at) AS first_at, max(created_at) AS last_at, arg_max({_STATES}, n) FILTER (WHERE {_STATES} IS NOT NULL) AS state FROM o GROUP BY 1)
 SELECT memory_id, state, round(list_reduce(list_prepend(0.0::DOUBLE, s), lambda x, y: greatest(0.0, least(10.0, x + y))), 6) AS reinforcement, events, strftime(first_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(last_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f') AS last_at FROM g""",
-    "heatmap": _FIRST + " SELECT (created_at AT TIME ZONE 'UTC')::DATE AS day, event_type, count(*) AS events, round(avg(amount), 6) AS mean_amount FROM ev GROUP BY ALL",
+    "heatmap": _VALID + " SELECT (created_at AT TIME ZONE 'UTC')::DATE AS day, state, count(*) AS memories, round(coalesce(avg(reinforcement), 0)::DECIMAL(18,10), 6)::DOUBLE AS mean_reinforcement, round(coalesce(avg(decay_score), 0)::DECIMAL(18,10), 6)::DOUBLE AS mean_decay FROM n GROUP BY ALL",
+    "aging": _VALID + f" SELECT memory_id, state, round(coalesce(decay_score, 0), 6) AS decay_score, round(coalesce(reinforcement, 0), 6) AS reinforcement, round(coalesce(importance_score, 0), 6) AS importance_score, {STAMP('last_accessed_at')} AS last_accessed_at, {STAMP('forgotten_at')} AS forgotten_at, {STAMP('updated_at')} AS updated_at, {_action('state')} AS next_action FROM n ORDER BY n.updated_at DESC NULLS LAST, memory_id LIMIT 200",
+    "graph_nodes": _VALID + " SELECT memory_id, state, coalesce(reinforcement, 0) AS reinforcement, coalesce(decay_score, 0) AS decay_score, coalesce(importance_score, 0) AS importance_score FROM n ORDER BY updated_at DESC NULLS LAST, memory_id LIMIT 300",
+    "graph_edges": "SELECT edge_id, from_memory_id, to_memory_id, relation, coalesce(confidence, 0) AS confidence FROM (SELECT DISTINCT edge_id, from_memory_id, to_memory_id, relation, confidence, created_at FROM memory_edges) ORDER BY created_at DESC NULLS LAST, edge_id LIMIT 300",
     "event_timeline": _FIRST + f" SELECT event_id, memory_id, event_type, {STAMP('created_at')} AS created_at FROM ev WHERE memory_id IN (SELECT memory_id FROM memory_nodes WHERE coalesce(namespace, 'default') = 'default') ORDER BY ev.created_at DESC, event_id LIMIT 200",
     "memory_nodes": ENRICHED + f"SELECT 'mem:' || id AS memory_id, CASE WHEN {TAG('task')} OR {LOW} LIKE '%todo%' THEN 'task' WHEN {TAG('preference')} THEN 'preference' WHEN {TAG('fact')} THEN 'fact' WHEN {TAG('intent')} THEN 'intent' ELSE 'episode' END AS memory_type, {CLIP('text_content', 180)} AS summary_short, {CLIP('text_content', 420)} AS summary_medium, CASE WHEN aging_state = 'archived' THEN 'archived' ELSE 'decaying' END AS state, {_action('aging_state')} AS next_action FROM q",
     "forget": "SELECT CASE WHEN forgotten_at IS NULL AND decay_score >= 0.97 THEN 'forgotten' ELSE state END AS state, count(*) AS nodes FROM memory_nodes GROUP BY 1",

@@ -81,6 +81,13 @@ def retried(failed: DataFrame, cfg: EngineConfig, most: int = 4, base: float = 0
     return retry, dead
 
 
+def stored(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches the pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def ingest(stream: DataFrame, target: str, quarantine: str, checkpoint: str, cfg: EngineConfig, write: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Captures to a table of new fingerprints: valid rows are normalised, deduplicated in event time and
     appended once per batch; invalid ones go to quarantine. Replays of a batch overwrite their own folder."""
@@ -92,13 +99,10 @@ def ingest(stream: DataFrame, target: str, quarantine: str, checkpoint: str, cfg
         good = normalized(batch.filter(valid(batch)), cfg)
         first = good.groupBy("dedupe_key").agg(F.min(F.struct("captured_at", "id")).alias("_v")).select("dedupe_key", F.col("_v.id").alias("id"))
         fresh = good.join(first, ["dedupe_key", "id"], "left_semi").dropDuplicates(["dedupe_key"])
-        try:
-            # a replayed batch doesn't see its own first attempt
-            known = spark.read.option("basePath", target).parquet(target).filter(F.col("batch") != number).select("dedupe_key").distinct()
+        if stored(spark, f"{target}/batch=*"):
+            # a replayed batch doesn't see its own first attempt; only the column of keys is read, and only keys of this batch are kept
+            known = spark.read.schema("dedupe_key string, batch long").option("basePath", target).parquet(target).filter(F.col("batch") != number).select("dedupe_key")
             fresh = fresh.join(known, "dedupe_key", "left_anti")
-        except Exception as e:  # noqa: BLE001 - the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
         if write:
             write(fresh, number)
