@@ -3,8 +3,10 @@
 Each language has probabilities of the pieces of a fixed public vocabulary. A word's likelihood is
 the sum over all its segmentations into pieces of any length, by a forward algorithm that runs over many
 words at once; pieces are found by rolling hashes and binary search. The probabilities are fitted by
-expectation-maximization, on built-in sentences and on a bounded sample of labelled rows: first all
-of them, then those whose text the first model agrees with, since labels are partly wrong.
+expectation-maximization, on built-in sentences and on every labelled row: first all of them, then
+their stretches that the first model finds to be in the language of the label, since labels are partly
+wrong. What is fitted on is counts of words, which Spark adds up; a vocabulary that is large is fitted in
+parts by the executors, which send their expected counts.
 
 A text's segments are its sentences and lines. Their languages are decided together, by a Viterbi
 pass in which a change of language has a cost, so that single foreign words and short segments
@@ -27,16 +29,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recolta.llm import residue as R
 from recolta.llm.bpe import VOCABULARIES
 from recolta.llm.plain_text import SENTENCES
 from recolta.llm.visual_form import fold
+from recolta.session import materialize
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl")
-#: Labelled texts per language in the sample; long texts are cut into units for it (residue.SAMPLE_UNIT).
-SAMPLE_TEXTS = 1_200
+#: Words of all languages up to which the driver fits by itself; with more the executors do, with equal results.
+DRIVER_WORDS = 20_000
 #: Cells of a matrix of words that are scored at once, words times bytes; and how many bytes apart the forward sums are rescaled.
 MOST_CELLS, RESCALE = 400_000, 64
 #: Lowest log-posterior of a word, cost of a change of language, and words kept by a worker.
@@ -58,6 +62,7 @@ nl nld dut dutch niederländisch néerlandais neerlandais neerlandés nederlands
 """
 # Names that stand for no language.
 _NO_LANGUAGE = ("", "und", "mul", "mis", "zxx", "xx", "unknown", "none", "null", "undefined", "n/a", "na", "other", "?")
+_NOISY = re.compile(r"[\d_@#]|https?://|www\.")  # without any of these there is no noise
 _NOISE = re.compile(r"https?://\S+|www\.\S+|(?<![\w.+-])[\w.+-]++@[\w.-]+|[#@]\w+|\b\w*[\d_]\w*\b")
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"(?<![.!?…])[.!?…]++[\"'”’»)\]]*+(?=\s)\s*+|(?<!\s)(?:(?=\s*\n)\s++|\s++[/|]\s++)")
@@ -165,7 +170,8 @@ class Words:
 
 def words_of(text: str) -> list[str]:
     """The words of a text that can tell a language, in lower case."""
-    return [w for w in _WORD.findall(_NOISE.sub(" ", text).lower()) if _LATIN.fullmatch(w)]
+    plain = _NOISE.sub(" ", text) if _NOISY.search(text) else text
+    return [w for w in _WORD.findall(plain.lower()) if _LATIN.fullmatch(w)]
 
 
 def segments(text: str) -> list[tuple[int, int]]:
@@ -179,8 +185,12 @@ def segments(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _spread(counts: Counter[str]) -> dict[str, float]:
-    return {w: 1 + float(np.log(n)) for w, n in counts.items()}  # a wording that is stored often tells no more
+def _spread(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """What the (words, languages) counts of words weigh, given those of all words: a word weighs as the logarithm of its count, since
+    a wording that is stored often tells no more; its languages share that by their rates, so that wrong labels, whose number
+    grows with the table, weigh the same in a table of any size."""
+    rates = counts / totals
+    return rates / rates.sum(1, keepdims=True) * (1 + np.log(counts.sum(1, keepdims=True)))
 
 
 @dataclass
@@ -195,12 +205,12 @@ class Model:
     def __getstate__(self) -> dict:
         return {"p": self.p.astype(np.float32), "path": self.path, "known": {}, "table": np.zeros((0, len(LANGUAGES)))}
 
-    def posteriors(self, lists: list[list[str]]) -> list[np.ndarray]:
-        """For each list of words the sum of their floored log-posteriors."""
+    def places(self, words: list[str]) -> np.ndarray:
+        """The words' rows in the table of floored log-posteriors."""
         if len(self.known) > CACHED_WORDS:
             self.known, self.table = {}, self.table[:0]
         known = self.known
-        fresh = sorted({w for ws in lists for w in ws if w not in known})
+        fresh = sorted({w for w in words if w not in known})
         if fresh:
             made = np.empty((len(fresh), len(LANGUAGES)))
             for own in groups(fresh):
@@ -210,33 +220,100 @@ class Model:
             for w in fresh:
                 known[w] = len(known)
             self.table = np.concatenate([self.table, made])
-        at = np.array([known[w] for ws in lists for w in ws], np.int64)
-        bounds = np.concatenate([[0], np.cumsum([len(ws) for ws in lists])]).astype(np.int64)
+        return np.array([known[w] for w in words], np.int64)
+
+    def sums(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The sums of the table's rows at[bounds[i]:bounds[i+1]]."""
         sums = np.concatenate([np.zeros((1, len(LANGUAGES))), np.cumsum(self.table[at], axis=0)]) if len(at) else np.zeros((1, len(LANGUAGES)))
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
+    def posteriors(self, lists: list[list[str]]) -> np.ndarray:
+        """For each list of words the sum of their floored log-posteriors."""
+        bounds = np.concatenate([[0], np.cumsum([len(ws) for ws in lists])]).astype(np.int64)
+        return self.sums(self.places([w for ws in lists for w in ws]), bounds)
+
+
+def _parts(words: list[str], counts: np.ndarray, path: str) -> list[tuple[Words, np.ndarray]]:
+    return [(Words([words[i] for i in own], path), counts[own]) for own in groups(words)]
+
+
+def _expected(parts: list[tuple[Words, np.ndarray]], p: np.ndarray, pieces: int) -> np.ndarray:
+    """(pieces, columns of p) expected counts; with one column the words' counts of all languages are added."""
+    out = np.zeros((pieces, p.shape[1]))
+    for table, counts in parts:
+        for k in range(p.shape[1]):
+            own = counts.sum(1) if p.shape[1] == 1 else counts[:, k]
+            if own.any():
+                out[:, k] += table.expected(p[:, [k]], own)
+    return out
+
+
+def _maximize(expected, pieces: int, rounds: int) -> np.ndarray:
+    """Piece probabilities by EM; expected gives the counts that probabilities lead to."""
+    shared = np.full((pieces, 1), 1 / pieces)
+    for _ in range(rounds):
+        got = expected(shared)
+        shared = (got + 0.01) / (got.sum() + 0.01 * pieces)
+    p = np.repeat(shared, len(LANGUAGES), axis=1)
+    for _ in range(rounds):
+        got = expected(p)
+        # a language's rates shrink to those of all languages together
+        p = (got + SHRINK * shared) / (got.sum(0) + SHRINK)
+    return p
+
+
+def _path(folder: str) -> str:
+    return os.path.join(folder, "byte_bpe_multi_50k.tiktoken")
+
 
 def fit(texts: dict[str, list[str]], folder: str = VOCABULARIES, rounds: int = 3) -> Model:
     """Piece probabilities of each language from its texts and its built-in sentences."""
-    path = os.path.join(folder, "byte_bpe_multi_50k.tiktoken")
+    path = _path(folder)
     by = {}
     for lang in LANGUAGES:
         by[lang] = Counter(w for t in {*texts.get(lang, []), SENTENCES[lang]} for w in words_of(t))
     vocabulary = sorted({w for c in by.values() for w in c if len(w.encode()) < RESCALE})  # longer ones tell nothing here
-    table = Words(vocabulary, path)
-    spread = {lang: _spread(c) for lang, c in by.items()}
-    counts = np.array([[spread[lang].get(w, 0.0) for lang in LANGUAGES] for w in vocabulary])
-    shared = np.full((table.count, 1), 1 / table.count)
-    for _ in range(rounds):
-        got = table.expected(shared, counts.sum(1))
-        shared[:, 0] = (got + 0.01) / (got.sum() + 0.01 * table.count)
-    p = np.repeat(shared, len(LANGUAGES), axis=1)
-    for k in range(len(LANGUAGES)):
-        for _ in range(rounds):
-            got = table.expected(p[:, [k]], counts[:, k])
-            # a language's rates shrink to those of all languages together
-            p[:, k] = (got + SHRINK * shared[:, 0]) / (got.sum() + SHRINK)
-    return Model(p, path)
+    counts = np.array([[by[lang][w] for lang in LANGUAGES] for w in vocabulary], float)
+    parts = _parts(vocabulary, _spread(counts, counts.sum(0)), path)
+    pieces = _pieces(path)[2]
+    return Model(_maximize(lambda p: _expected(parts, p, pieces), pieces, rounds), path)
+
+
+def _fit_counts(counts: DataFrame, folder: str, rounds: int) -> Model:
+    """The model of a table (l, w, n) of words by language, its n still to be added up."""
+    spark, path = counts.sparkSession, _path(folder)
+    pieces = _pieces(path)[2]
+    built_in = [(lang, w, n) for lang in LANGUAGES for w, n in Counter(words_of(SENTENCES[lang])).items()]
+    every = counts.unionByName(spark.createDataFrame(built_in, "l string, w string, n long")).filter(F.octet_length("w") < RESCALE)
+    table = materialize(every.groupBy("w").agg(*[F.sum(F.when(F.col("l") == x, F.col("n")).otherwise(0)).alias(x) for x in LANGUAGES]), "langid-words")
+    size, *totals = table.agg(F.count(F.lit(1)), *[F.sum(x) for x in LANGUAGES]).first()
+    totals = np.array(totals, float)
+    if size <= DRIVER_WORDS:
+        rows = sorted(table.collect())
+        parts = _parts([r[0] for r in rows], _spread(np.array([r[1:] for r in rows], float), totals), path)
+        return Model(_maximize(lambda p: _expected(parts, p, pieces), pieces, rounds), path)
+
+    def expected(p: np.ndarray) -> np.ndarray:
+        shared, names = spark.sparkContext.broadcast(p), [f"c{k}" for k in range(p.shape[1])]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = np.zeros(shared.value.shape)
+            for batch in batches:
+                words, n = batch.column(0).to_pylist(), np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+                sizes = _spread(n, totals)
+                for own in groups(words):  # one part in memory at a time
+                    got += _expected(_parts([words[i] for i in own], sizes[own], path), shared.value, len(got))
+            at = np.flatnonzero(got.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(c) for c in got[at].T]], ["piece", *names])
+
+        sums = table.mapInArrow(run, ", ".join(["piece int", *[f"{c} double" for c in names]])).groupBy("piece").agg(*[F.sum(c).alias(c) for c in names])
+        out = np.zeros(p.shape)
+        for r in sums.collect():
+            out[r.piece] = r[1:]
+        shared.destroy()
+        return out
+
+    return Model(_maximize(expected, pieces, rounds), path)
 
 
 def label(column: Column) -> Column:
@@ -250,59 +327,126 @@ def label(column: Column) -> Column:
     return out.otherwise("other")
 
 
-def train(df: DataFrame, text: str, lang: str, ignore: R.Model | None = None, sample: int = SAMPLE_TEXTS, folder: str = VOCABULARIES) -> Model:
-    """Fit on about `sample` labelled texts of each language, chosen by hash, without residue and without
-    those that a first model contradicts."""
-    t = F.col(text).cast("string")
-    rows = df.select(t.alias("_t"), label(F.col(lang).cast("string")).alias("l")).filter(F.col("l").isin(*LANGUAGES)).select(R.sample_units(F.col("_t")).alias("t"), "l")
-    counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
-    share = F.lit(0).cast("long")
-    for name, n in counts.items():
-        share = F.when(F.col("l") == name, F.lit(int(min(1.0, sample / n) * (2**62)))).otherwise(share)
-    picked = rows.filter(F.shiftrightunsigned(F.xxhash64("t"), 2) < share).distinct().orderBy("l", "t").limit(2 * sample * len(LANGUAGES)).collect()
-    texts = fold(pa.array([r.t for r in picked], pa.string())).to_pylist()
-    bad = np.array(R.residue_odds(texts, ignore)) >= R.LEAST_ODDS if ignore and texts else np.zeros(len(texts), bool)
-    by: dict[str, list[str]] = {name: [] for name in LANGUAGES}
-    for r, made, b in zip(picked, texts, bad):
-        if not b:
-            by[r.l].append(made)
-    first = fit(by, folder, 2)
-    agreed = {name: [t for t, d in zip(own, decide(own, first)) if d and {x[2] for x in d} == {name}] for name, own in by.items()}
-    return fit(agreed, folder)
-
-
-def decide(texts: list[str | None], model: Model) -> list[list[tuple[int, int, str, float, float, int]]]:
+def worded(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """(key, _l, _words, _marked): the language that the label names, the words of each text, its segments divided by line ends,
+    and its passages as residue.marked() cuts them. Texts without any are left out."""
+
+    def work(batch: pa.RecordBatch):
+        texts = [t or "" for t in fold(batch.column(1)).to_pylist()]
+        words = ["\n".join([" ".join(words_of(t[a:b])) for a, b in segments(t)]) for t in texts]
+        cut = [R.marked(t) for t in texts]
+        keep = [i for i, w in enumerate(words) if cut[i] or w and not w.isspace()]
+        return keep, [batch.column(2).take(pa.array(keep, pa.int64())), *[pa.array([x[i] for i in keep], pa.string()) for x in (words, cut)]]
+
+    kind = dict(df.dtypes)[key]
+    columns = [F.col(key), F.col(text).cast("string").alias("_t"), label(F.col(lang).cast("string")).alias("_l")]
+    return _run(df, columns, [key, "_l", "_words", "_marked"], f"{key} {kind}, _l string, _words string, _marked string", work)
+
+
+def without_residue(table: DataFrame, key: str, ignore: R.Model | None) -> DataFrame:
+    """(key, _l, _words) of the rows of `worded` that have words and hold no residue by the model `ignore`."""
+    shared = table.sparkSession.sparkContext.broadcast(ignore)
+
+    def work(batch: pa.RecordBatch):
+        keep = [i for i, w in enumerate(batch.column(2).to_pylist()) if not w.isspace() and w]
+        if shared.value is not None and keep:
+            odds = R.marked_odds(batch.column(3).take(pa.array(keep, pa.int64())).to_pylist(), shared.value)
+            keep = [i for i, o in zip(keep, odds) if o < R.LEAST_ODDS]
+        at = pa.array(keep, pa.int64())
+        return keep, [batch.column(1).take(at), batch.column(2).take(at)]
+
+    kind = dict(table.dtypes)[key]
+    return _run(table, [F.col(key), F.col("_l"), F.col("_words"), F.col("_marked")], [key, "_l", "_words"], f"{key} {kind}, _l string, _words string", work)
+
+
+def _split(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(bounds of the segments of each row, all words, bounds of the words of each segment) of a column of words of `worded`."""
+    lines = pc.split_pattern(column, "\n")
+    words = pc.split_pattern(lines.flatten(), " ")
+    flat, ends = words.flatten(), words.offsets.to_numpy().astype(np.int64)
+    full = pc.not_equal(flat, "")  # a segment without words is one empty string
+    kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return lines.offsets.to_numpy().astype(np.int64), flat.filter(full), kept[ends]
+
+
+def _places(words: pa.Array, model: Model) -> np.ndarray:
+    coded = words.dictionary_encode()
+    return model.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+
+
+def _counted(rows: DataFrame, first: Model | None = None) -> DataFrame:
+    """(l, w, n) of rows (_l, _words), n still to be added up; of the segments in the language l only, if there is a first model."""
+    shared = rows.sparkSession.sparkContext.broadcast(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, words, ends = _split(batch.column(1))
+            names = np.array([LANGUAGES.index(x) for x in batch.column(0).to_pylist()], np.int64)
+            own = np.repeat(np.repeat(names, np.diff(lines)), np.diff(ends))
+            if shared.value is not None:
+                paths = _paths(shared.value.sums(_places(words, shared.value), ends), np.diff(ends), lines)
+                agreed = np.repeat(paths, np.diff(ends)) == own
+                words, own = words.filter(pa.array(agreed)), own[agreed]
+            coded = words.dictionary_encode()
+            pairs, n = np.unique(own * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
+            lang, word = np.divmod(pairs, max(1, len(coded.dictionary)))
+            yield pa.RecordBatch.from_arrays([pa.array([LANGUAGES[k] for k in lang], pa.string()), coded.dictionary.take(pa.array(word)), pa.array(n.astype(np.int64))], ["l", "w", "n"])
+
+    return rows.select("_l", "_words").mapInArrow(run, "l string, w string, n long")
+
+
+def train_worded(table: DataFrame, folder: str = VOCABULARIES) -> Model:
+    """Fit on all labelled rows of `without_residue`, each wording of a language once, then on what of them the first model agrees with."""
+    rows = materialize(table.filter(F.col("_l").isin(*LANGUAGES)).select("_l", "_words").distinct(), "langid-labelled")
+    return _fit_counts(_counted(rows, _fit_counts(_counted(rows), folder, 2)), folder, 3)
+
+
+def train(df: DataFrame, text: str, lang: str, ignore: R.Model | None = None, folder: str = VOCABULARIES) -> Model:
+    """Fit on the labelled texts of df, without residue by the model `ignore`."""
+    words = worded(df.select(F.lit(0).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")), "k", "t", "l")
+    return train_worded(without_residue(words, "k", ignore), folder)
+
+
+def _paths(scores: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The language of each segment; text i has the segments bounds[i]:bounds[i+1]."""
+    best = scores.argmax(1) if len(scores) else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.flatnonzero(counts > 0)
+    low, high = np.full(len(bounds) - 1, len(LANGUAGES)), np.full(len(bounds) - 1, -1)
+    np.minimum.at(low, of[at], best[at]), np.maximum.at(high, of[at], best[at])
+    path = low[of]
+    for i in np.flatnonzero(low < high):
+        path[bounds[i] : bounds[i + 1]] = _viterbi(scores[bounds[i] : bounds[i + 1]])
+    return path
+
+
+Found = list[tuple[int, int, str, float, float, int]]
+
+
+def decide(texts: list[str | None], model: Model) -> list[Found]:
     """For each text its stretches of one language: (start, end, language, confidence, log-odds, most words of a segment)."""
     spans = [segments(t) if t else [] for t in texts]
     lists = [words_of(t[a:b]) for t, own in zip(texts, spans) for a, b in own]
-    scores = model.posteriors(lists)
-    best = scores.argmax(1) if len(scores) else np.zeros(0, np.int64)
-    out, k = [], 0
-    for own in spans:
-        n = len(own)
-        counts = [len(ws) for ws in lists[k : k + n]]
-        s, first = scores[k : k + n], best[k : k + n]
-        k += n
-        if not any(counts):
-            out.append([])
-            continue
-        worded = [i for i in range(n) if counts[i]]
-        if len({int(first[i]) for i in worded}) == 1:
-            path = [int(first[worded[0]])] * n
-        else:
-            path = _viterbi(s)
-        found = []
-        i = 0
-        while i < n:
-            j = i
-            while j < n and path[j] == path[i]:
-                j += 1
-            total = s[i:j].sum(0)
-            odds = float(total[path[i]] - np.delete(total, path[i]).max())
-            share = np.exp(np.clip(total - total[path[i]], -50, 50))
-            if any(counts[i:j]):
-                found.append((own[i][0], own[j - 1][1], LANGUAGES[path[i]], float(1 / share.sum()), odds, max(counts[i:j])))
-            i = j
+    bounds = np.concatenate([[0], np.cumsum([len(own) for own in spans])]).astype(np.int64)
+    return _stretches([s for own in spans for s in own], bounds, np.array([len(ws) for ws in lists], np.int64), model.posteriors(lists))
+
+
+def _stretches(spans: list[tuple[int, int]], bounds: np.ndarray, counts: np.ndarray, scores: np.ndarray) -> list[Found]:
+    path, out = _paths(scores, counts, bounds).tolist(), []
+    sizes, bounds = counts.tolist(), bounds.tolist()
+    for i, n in zip(bounds[:-1], bounds[1:]):
+        found: Found = []
+        if any(sizes[i:n]):
+            while i < n:
+                j = i
+                while j < n and path[j] == path[i]:
+                    j += 1
+                total = scores[i:j].sum(0)
+                odds = float(total[path[i]] - np.delete(total, path[i]).max())
+                share = np.exp(np.clip(total - total[path[i]], -50, 50))
+                if any(sizes[i:j]):
+                    found.append((spans[i][0], spans[j - 1][1], LANGUAGES[path[i]], float(1 / share.sum()), odds, max(sizes[i:j])))
+                i = j
         out.append(found)
     return out
 
@@ -380,18 +524,20 @@ def languages(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
 def mislabelled(df: DataFrame, key: str, text: str, lang: str, model: Model, ignore: R.Model | None) -> DataFrame:
     """(key, lang, confidence): texts whose label is missing or wrong, and all mixed texts with a row for each
     language. Texts that hold residue by the model `ignore` are left out."""
-    shared = df.sparkSession.sparkContext.broadcast((model, ignore))
+    return mislabelled_worded(without_residue(worded(df, key, text, lang), key, ignore), key, model)
+
+
+def mislabelled_worded(table: DataFrame, key: str, model: Model) -> DataFrame:
+    """mislabelled() of a table of `without_residue`."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch):
-        texts = fold(batch.column(1)).to_pylist()
-        made, bad = shared.value
-        found = [cases(f, n) for f, n in zip(decide(texts, made), batch.column(2).to_pylist())]
-        hits = [i for i, f in enumerate(found) if f]
-        if bad is not None and hits:
-            odds = R.residue_odds([texts[i] for i in hits], bad)
-            hits = [i for i, o in zip(hits, odds) if o < R.LEAST_ODDS]
-        rows = [(i, *c) for i in hits for c in found[i]]
+        lines, words, ends = _split(batch.column(2))
+        counts, made = np.diff(ends), shared.value
+        places = [(i, i + 1) for i in range(len(counts))]
+        decided = _stretches(places, lines, counts, made.sums(_places(words, made), ends))
+        rows = [(i, *c) for i, (f, n) in enumerate(zip(decided, batch.column(1).to_pylist())) for c in cases(f, n)]
         return [r[0] for r in rows], [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())]
 
-    kind = dict(df.dtypes)[key]
-    return _run(df, [F.col(key), F.col(text).cast("string").alias("_t"), label(F.col(lang).cast("string")).alias("_l")], [key, "lang", "confidence"], f"{key} {kind}, lang string, confidence double", work)
+    kind = dict(table.dtypes)[key]
+    return _run(table, [F.col(key), F.col("_l"), F.col("_words")], [key, "lang", "confidence"], f"{key} {kind}, lang string, confidence double", work)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recolta.llm import bpe, contamination, format_copies, langid, pii, residue, stuffing, varied_subset, visual_form
+from recolta.session import materialize
 from recolta.sources.tables import table
 
 
@@ -60,24 +61,25 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "items"), "id", PII_FIELDS)
 
 
-def _language_models(items: DataFrame) -> tuple:
-    bad = residue.train(items, "text_content")
-    return langid.train(items, "text_content", "lang", bad), bad
+def _language_model(items: DataFrame) -> langid.Model:
+    return langid.train(items, "text_content", "lang", residue.train(items, "text_content"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "items")
-    return langid.mislabelled(items, "id", "text_content", "lang", *_language_models(items)).select("id", "lang").distinct()
+    every = materialize(langid.worded(items, "id", "text_content", "lang"), "langid-texts")
+    words = materialize(langid.without_residue(every, "id", residue.train_marked(every, "_marked")), "langid-words-of-texts")
+    return langid.mislabelled_worded(words, "id", langid.train_worded(words)).select("id", "lang").distinct()
 
 
 def p7_languages(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "items")
-    return langid.languages(items, "id", "text_content", _language_models(items)[0])
+    return langid.languages(items, "id", "text_content", _language_model(items))
 
 
 def p7_segments(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "items")
-    return langid.language_segments(items, "id", "text_content", _language_models(items)[0])
+    return langid.language_segments(items, "id", "text_content", _language_model(items))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
